@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, simhash
-from .common import id_remainder
+from . import language_id, lm_scoring, mixing, packing, simhash, warc
+from .common import fresh_path, id_remainder
 from .mixing_sql import OP4_SQL
 
 
@@ -39,15 +39,39 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), uri)
+    return warc.read(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, id_remainder(F.col("doc_id"), 10) == 0, vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_covering_simhash": op5_covering_simhash,
+    "op6_warc_writer": op6_warc_writer,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_lattice_scoring": op10_lattice_scoring,
 }
 
-ORACLES: dict[str, str] = {"op4_temperature_mixing": OP4_SQL}
+OP6_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+ORACLES: dict[str, str] = {"op4_temperature_mixing": OP4_SQL, "op6_warc_writer": OP6_SQL}
