@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, mixing, packing, simhash, warc
+from . import html_extraction, language_id, lm_scoring, mixing, packing, simhash, warc
 from .common import fresh_path, id_remainder
 from .mixing_sql import OP4_SQL
 
@@ -49,6 +49,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.score(docs, id_remainder(F.col("doc_id"), 10) == 0, vocabulary("piece_bpe_32k.model"))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_covering_simhash": op5_covering_simhash,
     "op6_warc_writer": op6_warc_writer,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_site_templates": op8_site_templates,
     "op10_lattice_scoring": op10_lattice_scoring,
 }
 
