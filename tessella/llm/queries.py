@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, lm_scoring, mixing, packing, simhash, warc
+from . import hash_forest, html_extraction, language_id, lm_scoring, maxscore, mixing, packing, simhash, warc
 from .common import fresh_path, id_remainder
 from .mixing_sql import OP4_SQL
 
@@ -23,6 +23,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
@@ -59,6 +67,8 @@ def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxscore": op1_maxscore,
+    "op2_hash_forest": op2_hash_forest,
     "op3_language_id": op3_language_id,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_covering_simhash": op5_covering_simhash,
@@ -68,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lattice_scoring": op10_lattice_scoring,
 }
 
+OP1_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+terms AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS t FROM whole),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+  FROM terms q JOIN terms c ON q.t = c.t AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 OP6_SQL = """
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -79,4 +101,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-ORACLES: dict[str, str] = {"op4_temperature_mixing": OP4_SQL, "op6_warc_writer": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_maxscore": OP1_SQL, "op4_temperature_mixing": OP4_SQL, "op6_warc_writer": OP6_SQL}
