@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_forest, html_extraction, language_id, lm_scoring, maxscore, mixing, packing, simhash, warc
+from . import hash_forest, html_extraction, language_id, lm_scoring, maxscore, mixing, packing, simhash, token_files, warc
 from .common import fresh_path, id_remainder
 from .mixing_sql import OP4_SQL
 
@@ -61,6 +61,12 @@ def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_path(spark, "token-ids")
+    token_files.write(table(spark, sf_dir, "documents"), uri, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, uri)
+
+
 def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.score(docs, id_remainder(F.col("doc_id"), 10) == 0, vocabulary("piece_bpe_32k.model"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_writer": op6_warc_writer,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_site_templates": op8_site_templates,
+    "op9_range_coded_ids": op9_range_coded_ids,
     "op10_lattice_scoring": op10_lattice_scoring,
 }
 

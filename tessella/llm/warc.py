@@ -1,21 +1,16 @@
 """Deterministic sharded WARC writer, and a reader of what it writes.
 
-Records are sorted by page id over shards whose bounds are quantiles (by
-bytes) of a sample that a hash of the id picks, so equal input gives equal
-files on any cluster.  Within a shard a file is closed once its compressed
-size passes the limit.  Every record is a gzip member of its own; headers,
-record ids and digests are made anew from the row.
+Records are sorted by page id over deterministic shards (``sharded_files``).
+Within a shard a file is closed once its compressed size passes the limit.
+Every record is a gzip member of its own; headers, record ids and digests are
+made anew from the row.  Files are committed through temporary names and a
+manifest, so those of lost or repeated attempts never count.
 
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the one of
 the smallest page id is written in full and the others as revisits.  Who
 revisits whom is found on (id, digest) rows alone; those marks are merged
 into the sorted stream, so the payloads are shuffled once.
 
-Tasks write files under temporary names and report them as rows; a manifest of
-the reported files is stored, the files are moved to their final names, and
-last the manifest appears under its own name.  Readers follow the manifest, so
-files of lost or repeated attempts never count.
-
 Defined cases: a null payload is empty; a null page id is written without one,
 sorts first, is never referred to, and revisits only a page that has an id; a
 row that repeats id and payload revisits its twin; a null url is left out; an
@@ -30,55 +25,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
+from .sharded_files import STAGED, Output, bounds, by_file, dealt, manifest, publish, staged, store
 
 LEAST_REVISIT = 100
-SHARD_BYTES, LEAST_SHARDS = 64 << 20, 16
 FILE_BYTES = 32 << 20
-SAMPLE_ROWS = 20_000
 LEVEL = 5
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "shard int, seq int, temporary string, name string, n_records long, n_bytes long, sha256 string"
-
-
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI, on the driver and in tasks alike."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else pafs.FileSystem.from_uri(f"file:{uri.removeprefix('file:')}" if uri.startswith("file:") else f"file://{uri}")
-
-
-def bounds(ids: DataFrame) -> list[int]:
-    """Upper-exclusive shard bounds over (page_id, n_bytes), from a sample picked by a hash of the id."""
-    total = ids.agg(F.count("page_id").alias("n"), F.sum(F.col("n_bytes") + 512).alias("b")).first()
-    if not total["n"]:
-        return []
-    shards = max(LEAST_SHARDS, -(-total["b"] // SHARD_BYTES))
-    every = max(1, total["n"] // max(SAMPLE_ROWS, 20 * shards))
-    sample = ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
-    rows = sample.groupBy("page_id").agg(F.sum(F.col("n_bytes") + 512).alias("b")).toArrow().sort_by("page_id")
-    if not len(rows):
-        return []
-    at, weight = rows.column("page_id").to_numpy(), np.cumsum(rows.column("b").to_numpy())
-    cuts = np.searchsorted(weight, weight[-1] * np.arange(1, shards) / shards)
-    return sorted({int(x) for x in at[np.minimum(cuts + 1, len(at) - 1)]})
-
-
-def shard_of(page_id: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below the id, searched in two levels of about sqrt(n) comparisons."""
-    if not cuts:
-        return F.lit(0)
-    width = int(len(cuts) ** 0.5) + 1
-    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
-    numbers = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    below = lambda values: F.size(F.filter(values, lambda x: x <= page_id))
-    group = F.greatest(below(numbers([g[0] for g in groups])), F.lit(1))
-    return F.coalesce((group - 1) * width + below(F.element_at(F.array(*map(numbers, groups)), group)), F.lit(0)).cast("int")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -115,29 +73,18 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-class Roll:
-    """The open file of a shard."""
+class Archive(Output):
+    """An open archive; it starts with a warcinfo record."""
 
     def __init__(self, uri: str, shard: int, seq: int):
-        self.fs, root = store(uri)
-        self.shard, self.seq, self.n, self.size, self.sum = shard, seq, 0, 0, hashlib.sha256()
-        self.name = f"part-{shard:06d}-{seq:04d}.warc.gz"
-        self.temporary = f"_temporary/{self.name}.{uuid.uuid4().hex}"
-        self.fs.create_dir(f"{root}/_temporary", recursive=True)
-        self.out = self.fs.open_output_stream(f"{root}/{self.temporary}", compression=None)
+        super().__init__(uri, shard, seq, "warc.gz")
         info = lines(("software", "tessella"), ("format", "WARC File Format 1.1"))
         head = lines(("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info)))
-        self.add(b"WARC/1.1\r\n" + head + b"\r\n" + info + b"\r\n\r\n")
+        self.write(member(b"WARC/1.1\r\n" + head + b"\r\n" + info + b"\r\n\r\n"))
 
     def add(self, data: bytes) -> None:
-        packed = member(data)
-        self.out.write(packed)
-        self.sum.update(packed)
-        self.n, self.size = self.n + 1, self.size + len(packed)
-
-    def close(self) -> tuple:
-        self.out.close()
-        return self.shard, self.seq, self.temporary, self.name, self.n - 1, self.size, self.sum.hexdigest()
+        self.write(member(data))
+        self.n_records += 1
 
 
 def write(pages: DataFrame, uri: str) -> DataFrame:
@@ -148,63 +95,35 @@ def write(pages: DataFrame, uri: str) -> DataFrame:
     ids = cut(pages.select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes")))
     first = ids.where(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     marks = ids.where(F.col("n_bytes") >= LEAST_REVISIT).join(first.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    cuts = bounds(ids)
     none = lambda kind: F.lit(None).cast(kind)
     both = pages.select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"), F.lit(1).alias("kind"), none("long").alias("refers_to"), "url", "payload").unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", none("string").alias("url"), none("binary").alias("payload")).distinct()
     )
-    # four times as many partitions as shards: few of them share one
-    dealt = both.withColumn("shard", shard_of(F.col("page_id"), cuts)).repartition(4 * (len(cuts) + 1), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        roll: Roll | None = None
+        archive: Archive | None = None
         mark, before = None, None
         for batch in batches:
             for page_id, digest, kind, refers_to, url, data, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     mark = (page_id, digest, refers_to)
                     continue
-                if roll is None or roll.shard != shard or roll.size >= FILE_BYTES:
-                    if roll:
-                        done.append(roll.close())
-                    roll = Roll(uri, shard, roll.seq + 1 if roll and roll.shard == shard else 0)
+                if archive is None or archive.shard != shard or archive.size >= FILE_BYTES:
+                    if archive:
+                        done.append(archive.close())
+                    archive = Archive(uri, shard, archive.seq + 1 if archive and archive.shard == shard else 0)
                 to = mark[2] if mark and mark[:2] == (page_id, digest) else None
                 if to is None and page_id is not None and before == (page_id, digest) and len(data) >= LEAST_REVISIT:
                     to = page_id
                 before = (page_id, digest)
-                roll.add(record(page_id, url, data, digest.hex(), to, to is not None))
-        if roll:
-            done.append(roll.close())
+                archive.add(record(page_id, url, data, digest.hex(), to, to is not None))
+        if archive:
+            done.append(archive.close())
         if done:
-            yield pa.RecordBatch.from_pylist([dict(zip((f.split()[0] for f in MANIFEST.split(", ")), row, strict=True)) for row in done], schema=pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t]) for n, t in (f.split() for f in MANIFEST.split(", "))]))
-
-    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/_staged")
-    return commit(spark, uri)
-
+            yield staged(done)
 
-def commit(spark: SparkSession, uri: str) -> DataFrame:
-    """Move the staged manifest's files to their final names, then publish the manifest. May be repeated."""
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = store(uri)
-        for batch in batches:
-            for row in batch.to_pylist():
-                source, target = f"{root}/{row['temporary']}", f"{root}/{row['name']}"
-                if fs.get_file_info(source).type != pafs.FileType.NotFound:
-                    fs.move(source, target)
-                if fs.get_file_info(target).size != row["n_bytes"]:
-                    raise OSError(f"{row['name']}: its size is not that of the manifest")
-            yield batch
-
-    fs, root = store(uri)
-    staged = spark.read.schema(MANIFEST).parquet(f"{uri}/_staged")
-    staged.mapInArrow(move, MANIFEST).drop("temporary").write.mode("overwrite").parquet(f"{uri}/_publishing")
-    fs.move(f"{root}/_publishing", f"{root}/manifest")
-    for left in ("_staged", "_temporary"):
-        if fs.get_file_info(f"{root}/{left}").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{root}/{left}")
-    return spark.read.schema(MANIFEST.replace("temporary string, ", "")).parquet(f"{uri}/manifest")
+    return publish(dealt(both, "page_id", bounds(ids, "page_id"), "digest", "kind", "url").mapInArrow(run, STAGED), uri)
 
 
 def members(stream) -> Iterator[bytes]:
@@ -260,5 +179,4 @@ def read(spark: SparkSession, uri: str, payloads: bool = False) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=pa.schema(kinds.items()))
 
-    files = spark.read.schema(MANIFEST.replace("temporary string, ", "")).parquet(f"{uri}/manifest").select("name")
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "name").mapInArrow(run, schema)
+    return by_file(manifest(spark, uri).select("name")).mapInArrow(run, schema)
