@@ -12,7 +12,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ N = 13
 #: A benchmark set of at most so many bytes is broadcast.
 BROADCAST_LIMIT = 64 << 20
 SAMPLES = 5
-_LATEX, _SPACE = re.compile(LATEX), re.compile(r"\s+")
+_LATEX = re.compile(LATEX)
 HITS = "key long, side string, n_ngrams long, hits array<string>"
 
 
 def normal_words(text: str) -> list[str]:
     text = text if text.isascii() else unicodedata.normalize("NFKD", text)
-    return _SPACE.sub(" ", _LATEX.sub(" ", text.lower())).split()
+    return _LATEX.sub(" ", text.lower()).split()
 
 
 def ngrams_of(text: str | None, n: int) -> set[str]:
@@ -36,6 +38,29 @@ def ngrams_of(text: str | None, n: int) -> set[str]:
     return {" ".join(found[k : k + n]) for k in range(len(found) - n + 1)}
 
 
+class Hashes(dict):
+    """64-bit hashes of words, kept as they come up."""
+
+    KEPT = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def windows(self, found: list[str], n: int) -> np.ndarray:
+        """A 64-bit hash of every n-gram, by position."""
+        h = np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+        size = len(found) - n + 1
+        out = h[:size].copy()
+        for k in range(1, n):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+            out += h[k : k + size]
+        return out
+
+
 def ngrams(rows: DataFrame, key: str, text: str, n: int = N) -> DataFrame:
     """(key, ngram): the distinct word n-grams of every text, by an Arrow pass."""
 
@@ -83,12 +108,26 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
     known = spark.sparkContext.broadcast(frozenset(index.toArrow().column(0).to_pylist())) if size <= limit else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        if known:
+            wanted = np.unique(np.concatenate([hashes.windows(g.split(" "), n) for g in known.value] or [np.empty(0, dtype=np.uint64)]))
         for batch in batches:
             counts, hits = [], []
             for text in batch.column(2).to_pylist():
-                found = ngrams_of(text, n)
-                counts.append(len(found))
-                hits.append(sorted(found & known.value) if known else sorted(found))
+                found = normal_words(text) if text else []
+                if len(found) < n:
+                    counts.append(0)
+                    hits.append([])
+                    continue
+                if known is None:
+                    grams = ngrams_of(text, n)
+                    counts.append(len(grams))
+                    hits.append(sorted(grams))
+                    continue
+                at = hashes.windows(found, n)
+                counts.append(len(np.unique(at)))
+                near = wanted[np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))] == at if len(wanted) else np.zeros(0, dtype=bool)
+                hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near)} & known.value))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.string()))], ["key", "side", "n_ngrams", "hits"])
 
     scanned = sided.mapInArrow(scan, HITS).where("n_ngrams > 0")
