@@ -170,12 +170,13 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption c
 
 def candidates(root: Element, parts: list[Element]) -> list[Element]:
     """The subtrees that may be a site's template: any with text, but inside the main part only boxes that hold less than half of its text."""
-    out, todo = [], [(root, parts == [root])]
+    whole = parts == [root]  # no part says that it is the main one: running text may be template too
+    out, todo = [], [(root, whole)]
     most = sum(p.size for p in parts) / 2
     while todo:
         element, inside = todo.pop()
         inside = inside or any(element is p for p in parts)
-        if element.size and element is not root and element.name in BLOCK and not any(element is p for p in parts) and not (inside and (element.name in FLOW or element.size >= most)):
+        if element.size and element is not root and element.name in BLOCK and not any(element is p for p in parts) and not (inside and (element.name in FLOW and not whole or element.size >= most)):
             out.append(element)
         todo.extend((c, inside) for c in element.children if not isinstance(c, str))
     return out

@@ -40,69 +40,63 @@ Pattern = tuple[tuple[int, ...], int]
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Fix sets that dominate all others holding the largest length left.
-
-    For the largest length j and the room r = capacity - j: {j} where nothing
-    fits with it; {j, k} where k fills r exactly, or is the largest that fits
-    and at least as large as any two others that fit together (one piece can
-    replace them); {j, a, b} where a + b fills r exactly and a fourth piece
-    could never join, so the pair covers every alternative.  Lengths for which
-    no such set exists are left to best-fit.
+    """Fix, from the largest length down, the sets that dominate all others holding that length; the second value is what is left.
+
+    A length for which no such set exists stays, and counts among the others
+    for all smaller ones.
+    """
+    left, fixed = {x: n for x, n in counts.items() if n}, []
+    for j in sorted(left, reverse=True):
+        while j in left and (others := dominating(left, j, capacity - j)) is not None:
+            items = (j, *others)
+            need = {x: items.count(x) for x in items}
+            times = min(left[x] // n for x, n in need.items())
+            fixed.append((items, times))
+            for x, n in need.items():
+                left[x] -= n * times
+                if not left[x]:
+                    del left[x]
+    return fixed, left
+
+
+def dominating(left: dict[int, int], j: int, room: int) -> tuple[int, ...] | None:
+    """What to put beside a piece of length ``j`` so that no other choice from ``left`` can be better; None if that isn't certain.
+
+    A choice is no better if its pieces, alone or several together, fit one by
+    one into the place of those chosen here: the choice can then be swapped
+    in, and what comes out takes its pieces' places elsewhere.
     """
-    left, fixed = dict(counts), []
-    lengths = sorted(x for x, n in left.items() if n)
-    skipped: dict[int, int] = {}
-
-    def take(items: tuple[int, ...]) -> None:
-        need = {x: items.count(x) for x in items}
-        times = min(left[x] // n for x, n in need.items())
-        fixed.append((items, times))
-        for x, n in need.items():
-            left[x] -= n * times
-            if not left[x]:
-                lengths.remove(x)
-
-    while lengths:
-        j = lengths[-1]
-        room = capacity - j
-        if lengths[0] > room or (lengths == [j] and left[j] == 1):
-            take((j,))
-            continue
-        at = bisect_left(lengths, room + 1) - 1
-        k = lengths[at]
-        if k == j and left[j] < 2:
-            at -= 1
-            if at < 0:
-                take((j,))
-                continue
-            k = lengths[at]
-        pair = best_pair(lengths, left, j, room)
-        if k == room or pair is None or k >= sum(pair):
-            take((j, k))
-            continue
-        third = lengths[0] * 3
-        if sum(pair) == room and third > room:
-            take((j, *pair))
-            continue
-        skipped[j] = left.pop(j)
-        lengths.pop()
-    return fixed, skipped
-
-
-def best_pair(lengths: list[int], left: dict[int, int], j: int, room: int) -> tuple[int, int] | None:
-    """The two pieces of the largest sum that fit into ``room`` beside one piece of length ``j``."""
-    best, low, high = None, 0, len(lengths) - 1
-    have = lambda x: left[x] - (x == j)
+    have = {x: n - (x == j) for x, n in left.items() if x <= room and n > (x == j)}
+    if not have:
+        return ()
+    lengths = sorted(have)
+    k = lengths[-1]  # no single piece is longer
+    smallest = [x for x in lengths[:3] for _ in range(min(3, have[x]))][:3]
+    if k == room or len(smallest) < 2 or sum(smallest[:2]) > room:
+        return (k,)
+    if len(smallest) == 3 and sum(smallest) <= room:
+        return None  # three fit: too many choices
+    pair = best_pair(lengths, have, room)
+    if k >= sum(pair):
+        return (k,)
+    # beside k, the longest that fits: it covers every pair unless both pieces of one are longer than it
+    second = [x for x in lengths[: bisect_left(lengths, room - k + 1)] if x != k or have[k] > 1]
+    if second:
+        longer = [x for x in lengths[bisect_left(lengths, second[-1] + 1) :][:2] for _ in range(min(2, have[x]))][:2]
+        if len(longer) < 2 or sum(longer) > room:
+            return (k, second[-1])
+    return None
+
+
+def best_pair(lengths: list[int], have: dict[int, int], room: int) -> tuple[int, int]:
+    """The two pieces of the largest sum that fit into ``room``; (0, 0) if none do. ``lengths``: those of ``have``, ascending."""
+    best, low, high = (0, 0), 0, len(lengths) - 1
     while low <= high:
         a, b = lengths[low], lengths[high]
         if a + b > room:
             high -= 1
-        elif a == b and have(a) < 2 or not have(a):
-            low += 1
-        elif not have(b):
-            high -= 1
         else:
-            if best is None or a + b > sum(best):
+            if (a != b or have[a] > 1) and a + b > sum(best):
                 best = (b, a)
             low += 1
     return best
