@@ -154,8 +154,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, iterations: int
         .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text"))))
         .where(F.col("_rank") <= per_language)
     )
-    vectors = picked.select("lang", "text").mapInArrow(to_vectors, "lang string, cells array<int>, shares array<double>")
-    vectors = cut(vectors.select("lang", as_vector("cells", "shares").alias("features")))
+    # two steps with a cut between: in one, every task would hold two Python workers, which stay in memory for later stages
+    counted = cut(picked.select("lang", "text").mapInArrow(to_vectors, "lang string, cells array<int>, shares array<double>"))
+    vectors = cut(counted.select("lang", as_vector("cells", "shares").alias("features")))
     families: dict[str, list[str]] = {}
     for lang in sorted(r["lang"] for r in vectors.select("lang").distinct().collect()):
         families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
