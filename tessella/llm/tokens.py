@@ -74,7 +74,11 @@ class Encoder(dict):
         return self._of_model(word.lower().strip(" "))
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.word(part) if self.word and WORD.match(part) else self.plain(part)
+        if self.word and WORD.match(part):
+            ids = self.word(part)
+        else:
+            parts = PART.findall(part)
+            ids = self.plain(part) if len(parts) < 2 else b"".join(map(self.__getitem__, parts))
         if len(part) <= KEPT_CHARS:
             if len(self) >= KEPT_PARTS:
                 self.clear()
@@ -85,6 +89,9 @@ class Encoder(dict):
         """The ids of a whole text; none for null."""
         if not text:
             return b""
-        if ODD.search(text) and UNSAFE.search(text):
+        odd = ODD.search(text)
+        if odd and UNSAFE.search(text):
             return self.plain(text)
+        if not odd and self.word == self._bare:  # blanks and newlines are the only white space, and have no ids
+            return b"".join(map(self.__getitem__, text.split()))
         return b"".join(map(self.__getitem__, PART.findall(text)))
