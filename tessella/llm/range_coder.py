@@ -114,16 +114,19 @@ def encode_lanes(symbols: np.ndarray, width: np.ndarray) -> list[bytes]:
                 at = at[flat[at] == 0] - 1
             low &= MASK
         go = span < LEAST
-        while True:
-            flat[to] = low >> 32
-            to += go
-            shift = go * np.int64(WORD)
-            low <<= shift
-            low &= MASK
-            span <<= shift
-            go = span < LEAST
-            if not go.any():
-                break
+        flat[to] = low >> 32
+        to += go
+        shift = go * np.int64(WORD)
+        low <<= shift
+        low &= MASK
+        span <<= shift
+        again = np.flatnonzero(span < LEAST)
+        while len(again):  # few lanes give a second word
+            flat[to[again]] = low[again] >> 32
+            to[again] += 1
+            low[again] = low[again] << WORD & MASK
+            span[again] <<= WORD
+            again = again[span[again] < LEAST]
         mixer.update(ids, one2, one1, is1.astype(np.int32))
     for _ in range(3):
         flat[to] = low >> 32
@@ -163,15 +166,17 @@ def decode_lanes(words: list[bytes], n: int, width: np.ndarray) -> np.ndarray:
         span = unit * width.take(symbol)
         ids = np.where(escape, symbol, np.where(one2, p2, p1))
         go = span < LEAST
-        while True:
-            shift = go * np.int64(WORD)
-            code <<= shift
-            code |= flat.take(next_) * go
-            next_ += go
-            span <<= shift
-            go = span < LEAST
-            if not go.any():
-                break
+        shift = go * np.int64(WORD)
+        code <<= shift
+        code |= flat.take(next_) * go
+        next_ += go
+        span <<= shift
+        again = np.flatnonzero(span < LEAST)
+        while len(again):  # few lanes take a second word
+            code[again] = code[again] << WORD | flat.take(next_[again])
+            next_[again] += 1
+            span[again] <<= WORD
+            again = again[span[again] < LEAST]
         np.minimum(next_, len(flat) - 1, out=next_)
         mixer.update(ids, one2, one1, (ids == p1).astype(np.int32))
         out[k] = ids
