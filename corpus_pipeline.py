@@ -17,8 +17,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near-duplicates stays, that of the smallest id: 5-word shingles, Jaccard similarity of at least 0.8."""
+    return simhash.first_of_each(docs, groups=simhash.similar_documents(docs, words=5, similarity=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

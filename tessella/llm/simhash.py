@@ -15,6 +15,15 @@ and its single-bit flips in the hidden positions.  A group of that second deal
 has at most (hidden positions + 1) fingerprints, all within distance 2 of each
 other, and is linked as a star.  Exact copies are merged beforehand.
 
+``similar_documents`` looks further: for a radius above 2 the fingerprint is
+cut into three parts, one of which differs in at most a third of the radius and
+collides in that part's covering family.  Fingerprints of one bucket are
+compared in the task that holds it; what is near enough is decided by the exact
+Jaccard similarity of the whole shingle sets.  A first pass gives every set only
+its least neighbours (in ``ORDERS`` orders) as candidates, which joins a large
+group without its pairs; a second pass over the sets with neighbours gives every
+near pair whose ends are still apart, so none is left out.
+
 Defined cases: a null, empty or blank text has fingerprint zero, which is
 linked like any other; repeated rows get equal values; the component id is the
 smallest non-null doc_id of the component, null if it has none.
@@ -22,6 +31,7 @@ smallest non-null doc_id of the component, null if it has none.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,28 +44,42 @@ from .common import byte_values, cut
 from .components import components
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
+#: For ``similar_documents``: parts of a fingerprint, orders of the first pass, and how far the second fingerprints of a candidate may differ.
+PARTS, ORDERS, SECOND_RADIUS = 3, 3, 20
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+POINT = "digest long, fp long, fp2 long, n int"
 
 
-def fingerprint(data: bytes | None, words: int = WORDS) -> int:
-    """The fingerprint of UTF-8 bytes; bit b is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(data: bytes | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of every shingle of ``words`` words, in text order; of the whole text where it is shorter."""
     w = data.lower().split() if data else []  # of bytes: A-Z, and the six ASCII blanks, only
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(data: bytes | None, words: int = WORDS) -> int:
+    """The fingerprint of UTF-8 bytes; bit b is set if it is set in over half of the shingles' hashes."""
+    return majority(shingle_hashes(data, words))
+
+
+def majority(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(h), 65536):
         ones += np.unpackbits(h[start : start + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(doc_id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x) for x in byte_values(batch.column(1))], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(x, words) for x in byte_values(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -92,9 +116,9 @@ def close_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return star.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    marked = cut(fingerprints(docs, text, key))
+    marked = cut(fingerprints(docs, text, key, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(components(close_pairs(distinct.select("fp"), radius)))
     linked = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp").select("fp", "root", "first")
@@ -104,13 +128,133 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def part_masks(radius: int, parts: int = PARTS) -> list[int]:
+    """Covering masks over each part of the fingerprint: at most ``radius`` differing bits leave some part with at most a share of them, which one of its masks hides."""
+    tables = (1 << (radius // parts + 1)) - 1
+    out = []
+    for part in range(parts):
+        at = range(BITS * part // parts, BITS * (part + 1) // parts)
+        vectors = {i: 1 + k % tables for k, i in enumerate(at)}
+        out += [sum(1 << i for i, m in vectors.items() if (m & v).bit_count() % 2) for v in range(1, tables + 1)]
+    return out
+
+
+def shingle_points(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, fp, fp2, n) of (doc_id, text): of each text's set of shingles a digest, two fingerprints and the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((3, batch.num_rows), dtype=np.uint64)
+            sizes = np.zeros(batch.num_rows, dtype=np.int32)
+            for k, data in enumerate(byte_values(batch.column(1))):
+                h = shingle_hashes(data, words)
+                different = np.unique(h)
+                mixed = (h ^ (h >> np.uint64(31))) * np.uint64(ODD[0])
+                found[:, k] = xxhash.xxh64_intdigest(different.tobytes()), majority(h), majority(mixed ^ (mixed >> np.uint64(32)))
+                sizes[k] = len(different)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.view(np.int64)), pa.array(sizes)], ["doc_id", "digest", "fp", "fp2", "n"])
+
+    return docs.mapInArrow(run, f"doc_id long, {POINT}")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(digest, hashes) for each different set of shingles of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in byte_values(batch.column(1)):
+                different = np.unique(shingle_hashes(data, words))
+                digest = np.array([xxhash.xxh64_intdigest(different.tobytes())], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array([different.view(np.int64)], pa.list_(pa.int64()))], ["digest", "hashes"])
+
+    return docs.mapInArrow(run, "digest long, hashes array<long>").dropDuplicates(["digest"])
+
+
+def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -> DataFrame:
+    """(a, b) of different points (POINT, and ``root``) whose fingerprints are within ``radius`` and whose sizes allow ``similarity``: every pair of two roots, or each point's least neighbours only."""
+    kept = part_masks(radius)
+    table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(signed(m)).alias("mask")) for v, m in enumerate(kept)])
+    keyed = points.select("digest", "fp", "fp2", "n", "root", F.explode(table).alias("t"))
+    keyed = keyed.select(F.xxhash64("t.v", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), "digest", "fp", "fp2", "n", "root")
+
+    def near(rows: np.ndarray) -> Iterator[np.ndarray]:
+        digest, fp, fp2, n, root = rows
+        for start in range(0, len(digest), 256):
+            x = slice(start, start + 256)
+            close = np.bitwise_count(fp[x, None].view(np.uint64) ^ fp.view(np.uint64)) <= radius
+            close &= digest[x, None] != digest
+            i, j = np.nonzero(close)
+            i += start
+            fit = np.bitwise_count(fp2[i].view(np.uint64) ^ fp2[j].view(np.uint64)) <= SECOND_RADIUS
+            fit &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            if every:
+                fit &= (root[i] != root[j]) & (digest[i] < digest[j])
+            i, j = i[fit], j[fit]
+            if every and len(i):
+                yield np.stack([digest[i], digest[j], i, i])
+            elif len(i):
+                for k, m in enumerate(ODD[:ORDERS]):
+                    rank = ((digest[j].view(np.uint64) ^ np.uint64(m)) * np.uint64(m)).view(np.int64)
+                    o = np.lexsort((rank, i))
+                    o = o[np.r_[True, np.diff(i[o]) > 0]]
+                    yield np.stack([digest[i[o]], digest[j[o]], np.full(len(o), k), rank[o]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((6, 0), dtype=np.int64)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            bounds = np.flatnonzero(np.diff(rest[0])) + 1
+            starts = np.r_[0, bounds] if rest.shape[1] else bounds
+            ends = np.r_[bounds, rest.shape[1]] if batch is None else bounds  # the last bucket may go on in the next batch
+            for a, b in zip(starts, ends, strict=False):
+                if b - a > 1:
+                    for pairs in near(rest[1:, a:b]):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, pairs)], ["a", "b", "k", "rank"])
+            rest = rest[:, ends[-1] :] if len(ends) else rest
+
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, k long, rank long")
+    if every:
+        return found.select("a", "b").distinct()
+    found = found.groupBy("a", "k").agg(F.min_by("b", "rank").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` with a doc_id: components of the links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``, found within ``radius``."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    marked = cut(shingle_points(docs, words))
+    points = cut(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("first")).withColumn("root", F.col("digest")))
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that are similar: the whole sets are compared."""
+        end = lambda c: sets.select(F.col("digest").alias(c), F.col("hashes").alias(f"{c}_set"))
+        both = pairs.join(end("a"), "a").join(end("b"), "b")
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        return cut(both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"))
+
+    first = cut(candidates(points, radius, similarity, False))
+    ends = cut(first.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    with_neighbours = cut(points.join(ends, "digest"))
+    sets = cut(shingle_sets(docs.join(with_neighbours.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).join(ends, "digest", "left_semi"))
+    links = linked(first, sets)
+    roots = cut(components(links)).withColumnRenamed("vertex", "digest")
+    apart = with_neighbours.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    links = links.unionByName(linked(cut(candidates(cut(apart), radius, similarity, True)), sets))
+    roots = cut(components(links)).withColumnRenamed("vertex", "digest")
+    grouped = points.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    smallest = cut(grouped.groupBy("root").agg(F.min("first").alias("component_id")))
+    ids = cut(grouped.join(smallest, "root").select("digest", "component_id"))
+    return marked.join(ids, "digest").select("doc_id", "fp", "component_id")
+
+
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each component: the row of its smallest doc_id. Rows without a doc_id stay; rows that repeat a kept id stay where their texts differ."""
-    groups = near_duplicates(docs, text, key)
+def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
+    """One row for each component of ``groups`` (by default those of ``near_duplicates``): the row of its smallest doc_id. Rows without a doc_id stay; rows that repeat a kept id stay where their texts differ."""
+    groups = near_duplicates(docs, text, key) if groups is None else groups
     kept = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     ids = lambda rows: rows.select(F.col("doc_id").alias(key))
     out = docs.join(ids(kept), key, "left_semi")

@@ -115,3 +115,47 @@ def test_one_of_each_stays(spark):
     kept = simhash.first_of_each(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 7]
+
+
+def jaccard(a, b, words=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_against_brute_force(spark):
+    """The stage's contract: near copies far beyond two bits are found, and nothing under the similarity is linked."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(text)
+            for _ in range(rng.randrange(1 + len(copy) // 50)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows) + 10, " ".join(copy)))
+    hub = [rng.choice(words) for _ in range(300)]
+    rows += [(1000 + k, " ".join(hub[:k] + ["x"] + hub[k + 1 :])) for k in range(80)]
+    links = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    assert max((fps[a] ^ fps[b]).bit_count() for a, b in links) > 2
+    root = {i: i for i, _ in rows}
+    for a, b in sorted(links):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {k: new if v == old else v for k, v in root.items()}
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == root
+    kept = simhash.first_of_each(df, groups=simhash.similar_documents(df)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values()))
+
+
+def test_part_masks_cover_the_radius():
+    masks, rng = simhash.part_masks(14), random.Random(2)
+    for _ in range(5000):
+        x = sum(1 << b for b in rng.sample(range(64), 14))
+        assert any(not m & x for m in masks)
