@@ -238,13 +238,17 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     with_neighbours = cut(points.join(ends, "digest"))
     sets = cut(shingle_sets(docs.join(with_neighbours.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).join(ends, "digest", "left_semi"))
     links = linked(first, sets)
-    roots = cut(components(links)).withColumnRenamed("vertex", "digest")
+    # sets with the same linked neighbour are in one component already
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    roots = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("digest"), F.least("m", rank("a")).getField("v").alias("root"))
     apart = with_neighbours.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     links = links.unionByName(linked(cut(candidates(cut(apart), radius, similarity, True)), sets))
     roots = cut(components(links)).withColumnRenamed("vertex", "digest")
     grouped = points.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    smallest = cut(grouped.groupBy("root").agg(F.min("first").alias("component_id")))
-    ids = cut(grouped.join(smallest, "root").select("digest", "component_id"))
+    grouped = cut(grouped.select("digest", "root", "first"))
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = grouped.join(smallest, "root").select("digest", "component_id")
     return marked.join(ids, "digest").select("doc_id", "fp", "component_id")
 
 
