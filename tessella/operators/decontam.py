@@ -134,10 +134,11 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
     if known:
         index.unpersist()
         return scanned
-    exploded = scanned.select("key", "side", "n_ngrams", F.explode("hits").alias("ngram")).withColumn("h", F.xxhash64("ngram"))
-    joined = exploded.join(index.withColumn("h", F.xxhash64("ngram")), ["h", "ngram"], "left_semi")
-    hits = joined.groupBy("key", "side", "n_ngrams").agg(F.collect_list("ngram").alias("hits"))
-    return hits
+    # repeated keys stay apart, as in the scan
+    exploded = scanned.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "side", "n_ngrams", F.explode("hits").alias("ngram")).withColumn("h", F.xxhash64("ngram"))
+    joined = exploded.join(index.select("ngram", F.xxhash64("ngram").alias("h"), F.lit(True).alias("known")), ["h", "ngram"], "left")
+    hits = F.array_sort(F.collect_list(F.when(F.col("known"), F.col("ngram"))))
+    return joined.groupBy("row", "key", "side", "n_ngrams").agg(hits.alias("hits")).drop("row")
 
 
 def contaminated(rows: DataFrame, benchmarks: dict[str, DataFrame], key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT) -> DataFrame:
