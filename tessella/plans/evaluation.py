@@ -153,8 +153,9 @@ def task_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grader_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every grader on every document: its two ends are answer and reference."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.right("text", F.lit(400)).alias("a"), F.left("text", F.lit(400)).alias("r"))
+    """Every grader on every document: the answer is its whole text, the reference that of the document with the next id (none for the last)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    docs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("r")), "doc_id", "left")
     marks = {name: g(F.col("a"), F.col("r")) for name, g in graders.GRADERS.items()}
     return docs.select("doc_id", *[m.alias(name) for name, m in marks.items()])
 
