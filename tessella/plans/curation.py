@@ -107,6 +107,12 @@ def cjk_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.repair_cjk(marked).alias("repaired"))
 
 
+def cjk_repaired_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired whole text of every document, where ``cjk_repaired`` and its SQL take the first 20 characters."""
+    marked = F.concat(F.lit("ＡＢ１、。호텔漢字「あ」“ok”"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.repair_cjk(marked).alias("repaired"))
+
+
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     messy = F.concat(F.lit("  \\frac{A} \t\n \\textbf x "), F.col("text"))
@@ -114,8 +120,9 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents each gate passes or turns away, and for what; the text takes both sides."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"), F.right("text", F.lit(1500)).alias("retain"))
+    """How many documents each gate passes or turns away, and for what; the retain side is the whole text of the document with the next id, empty for the last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"))
+    docs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("target").alias("retain")), "doc_id", "left").withColumn("retain", F.coalesce("retain", F.lit("")))
     out = None
     for corpus in ("spl_cc", "stp_cc", "ctr_cc", "core_math", "null_cc", "tom_cc"):
         rule = F.coalesce(F.regexp_extract(gates.gate(corpus, F.col("target"), F.col("retain")).reason(), "^([^']+?)(?: '|$)", 1), F.lit("pass"))
@@ -134,7 +141,7 @@ def overlap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (decontam_hits, decontam_merged, decontam_summary, decontam_clean, decontam_top, benchmark_ngrams, quality_flags, exact_dups, quality_filter, audit_by_lang, length_percentiles, length_deciles, crosstab, top_values, cjk_report, cjk_repaired, normal_forms, gate_reasons, overlap_checks)}
+QUERIES = {f.__name__: f for f in (decontam_hits, decontam_merged, decontam_summary, decontam_clean, decontam_top, benchmark_ngrams, quality_flags, exact_dups, quality_filter, audit_by_lang, length_percentiles, length_deciles, crosstab, top_values, cjk_report, cjk_repaired, cjk_repaired_whole, normal_forms, gate_reasons, overlap_checks)}
 
 NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '\\(?:text|mathrm|mathbf|frac|sqrt|left|right|begin|end)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 GRAMS = f"""words AS (SELECT doc_id, string_split({NORMAL.format('text')}, ' ') AS w FROM documents),
