@@ -20,8 +20,8 @@ cut into three parts, one of which differs in at most a third of the radius and
 collides in that part's covering family.  Fingerprints of one bucket are
 compared in the task that holds it; what is near enough is decided by the exact
 Jaccard similarity of the whole shingle sets.  A first pass gives every set only
-its least neighbours (in ``ORDERS`` orders) as candidates, which joins a large
-group without its pairs; a second pass over the sets with neighbours gives every
+its least neighbours (in ``ORDERS`` orders) as candidates, which joins most
+of a large group without its pairs; a second pass over the sets with neighbours gives every
 near pair whose ends are still apart, so none is left out.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which is
