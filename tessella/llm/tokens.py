@@ -5,6 +5,10 @@ white space into white space, nor from a letter into an ASCII character that is
 none.  A text may therefore be cut at such places and its parts encoded alone.
 Parts repeat, so their ids are kept in each worker process; the tokenizer sees
 a part once.
+
+The ids are those of the library with ``add_special_tokens=False`` and no other
+setting: where a text holds the string of a special token, the library gives
+that token's id.  Such texts go to it whole.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯ  -‏ -  　﻿]")
 #: Such a character right before or after a blank or newline: the text is not cut.
 UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0  -‏ -  　﻿][ \n]|[ \n][̀-ͯ]")
 #: Parts of at most so many characters are kept, so many at most; then the store starts anew.
-KEPT_CHARS, KEPT_PARTS = 48, 800_000
+KEPT_CHARS, KEPT_PARTS = 48, 400_000
 #: Words on which the direct way through the tokenizer's model must agree with the tokenizer.
 PROBES = ("the", "The", "straße", "ÉTÉ", "Xylophonist", "aeiouaeiou", "zzzqqq", "ÿ", "I", "señoras")
 
@@ -47,7 +51,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added if not t.normalized]
+        self.whole = any(t.normalized for t in added)  # such tokens are sought in another form of the text
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.word = next((w for w in (self._spaced, self._bare) if all(w(p + x) == self.plain(p + x) for x in PROBES for p in ("", " "))), None)
 
@@ -89,6 +95,8 @@ class Encoder(dict):
         """The ids of a whole text; none for null."""
         if not text:
             return b""
+        if self.whole or any(s in text for s in self.special):
+            return self.plain(text)
         odd = ODD.search(text)
         if odd and UNSAFE.search(text):
             return self.plain(text)

@@ -101,7 +101,7 @@ def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(sharded_files, "LEAST_SHARDS", 3)
     monkeypatch.setattr(range_coder, "LANES", 2)
     monkeypatch.setattr(range_coder, "BLOCK", 64)
-    texts = [(30, "a b c"), (10, None), (20, ""), (40, "Word " * 900), (None, "no id"), (50, "Été  d'été"), (50, "other text"), (60, "z")] + [(100 + i, f"document {i} " * 9) for i in range(60)]
+    texts = [(30, "a b c"), (10, None), (20, ""), (40, "Word " * 900), (None, "no id"), (50, "Été  d'été"), (50, "other text"), (60, "z"), (70, "some <|endoftext|> more<|startoftext|>")] + [(100 + i, f"document {i} " * 9) for i in range(60)]
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, start int")
     path = queries.vocabulary("word_bpe_49k.json")
     uri = fresh_path(spark, "ids")

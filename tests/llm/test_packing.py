@@ -79,7 +79,6 @@ def check_rows(rows, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.vocabulary(TOKENIZER))
-    tok.encode_special_tokens = True
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -126,13 +125,17 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("name", [TOKENIZER, "word_bpe_49k.json"])
 def test_encoding_by_parts_is_that_of_the_whole(spark, sf, name):
-    encoder = Encoder(queries.vocabulary(name))
+    from tokenizers import Tokenizer
+
+    encoder, untouched = Encoder(queries.vocabulary(name)), Tokenizer.from_file(queries.vocabulary(name))
     assert encoder.word is not None
+    plain = lambda t: np.array(untouched.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
     rng = random.Random(5)
-    alphabet = ["a", "Z", "é", "ß", " ", "  ", "\n", "\t", " ", "'s", "'", ".", "1", "23", "β", "́", "你", " ", "-", "_", "\r\n", "<|endoftext|>", "\x1f", "\x85", "İ", "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+    alphabet = ["a", "Z", "é", "ß", " ", "  ", "\n", "\t", " ", "'s", "'", ".", "1", "23", "β", "́", "你", " ", "-", "_", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "\x1f", "\x85", "İ", "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
-    assert [t for t in texts if encoder.encode(t) != encoder.plain(t)] == []
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|>"]
+    assert [t for t in texts if encoder.encode(t) != plain(t)] == []
 
 
 def test_dominating_sets_are_small():
