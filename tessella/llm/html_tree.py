@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import xxhash
@@ -42,8 +43,14 @@ class Element:
     role: str
     hidden: bool
     children: list = field(default_factory=list)  # elements and strings
-    digest: int = 0
+    digest: int = 0  # of the subtree's names and text
+    shape: int = 0  # of the subtree's names, classes and roles; runs of equal children count once
     size: int = 0  # characters of text in the subtree
+    linked: int = 0  # of these, those inside links
+
+    def kind(self) -> bytes:
+        """The element without what is in it; words with digits number it and are left out."""
+        return f"{self.name}|{'.'.join(sorted(w for w in self.words if w.isalpha())) if self.words else ''}|{self.role}".encode("utf-8", "replace")
 
 
 def attributes(name: str, text: str) -> Element:
@@ -123,23 +130,33 @@ def words(text: str) -> str:
 
 
 def hash_subtrees(root: Element) -> None:
-    """Set digest (of names and normalised text) and size of every element, children first."""
+    """Set the digests and sizes of every element, children first."""
     order, todo = [], [root]
     while todo:
         element = todo.pop()
         order.append(element)
         todo.extend(c for c in element.children if not isinstance(c, str))
     for element in reversed(order):
-        h, size = xxhash.xxh64(element.name.encode()), 0
+        kind = element.kind()
+        h, shape, size, linked, before = xxhash.xxh64(kind), xxhash.xxh64(kind, seed=1), 0, 0, None
         for child in element.children:
             if isinstance(child, str):
                 if text := words(child):
                     h.update(b"\0" + text.encode("utf-8", "replace"))
                     size += len(text)
+                    now = 0
+                else:
+                    continue
             else:
                 h.update(b"\1%d" % child.digest)
                 size += child.size
-        element.digest, element.size = h.intdigest(), size
+                linked += child.linked
+                now = child.shape
+            if now != before:
+                shape.update(b"%d," % now)
+                before = now
+        element.digest, element.shape, element.size = h.intdigest(), shape.intdigest(), size
+        element.linked = size if element.name == "a" else linked
 
 
 def ruled_out(element: Element, inside: bool) -> bool:
@@ -149,6 +166,10 @@ def ruled_out(element: Element, inside: bool) -> bool:
     return bool(element.words & MARKED) and element.name not in ("html", "body", "main", "article", "p", "span", "h1")
 
 
+def is_main(element: Element) -> bool:
+    return element.name in ("main", "article") or element.role in ("main", "article")
+
+
 def main_parts(root: Element) -> list[Element]:
     """The outermost main elements that are not ruled out, else the outermost articles, else the whole page."""
     for wanted in (lambda e: e.name == "main" or e.role == "main", lambda e: e.name == "article" or e.role == "article"):
@@ -168,22 +189,37 @@ def main_parts(root: Element) -> list[Element]:
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption summary".split())
 
 
-def candidates(root: Element, parts: list[Element]) -> list[Element]:
-    """The subtrees that may be a site's template: any with text, but inside the main part only boxes that hold less than half of its text."""
-    whole = parts == [root]  # no part says that it is the main one: running text may be template too
-    out, todo = [], [(root, whole)]
-    most = sum(p.size for p in parts) / 2
+def candidates(root: Element) -> list[tuple[Element, bool, bool]]:
+    """The subtrees that may be a site's template, with whether what they are named says so and whether most of their text is links.
+
+    These are all block elements with text but main elements and what they
+    stand in, running text inside a main element, and, where the page has no
+    main element, boxes that hold half of its text or more.
+    """
+    order, todo = [], [(root, None, False)]
     while todo:
-        element, inside = todo.pop()
-        inside = inside or any(element is p for p in parts)
-        if element.size and element is not root and element.name in BLOCK and not any(element is p for p in parts) and not (inside and (element.name in FLOW and not whole or element.size >= most)):
-            out.append(element)
-        todo.extend((c, inside) for c in element.children if not isinstance(c, str))
+        element, parent, inside = todo.pop()
+        inside = inside or is_main(element)
+        order.append((element, parent, inside))
+        todo.extend((c, element, inside) for c in element.children if not isinstance(c, str))
+    kept = {id(root)}
+    for element, parent, _ in reversed(order):
+        if (id(element) in kept or is_main(element) and element.size) and parent is not None:
+            kept |= {id(element), id(parent)}
+    whole = len(kept) == 1  # no main element
+    most = root.size / 2
+    out = []
+    for element, _, inside in order:
+        if not element.size or element.name not in BLOCK or id(element) in kept:
+            continue
+        named = ruled_out(element, inside)
+        if named or not (inside and element.name in FLOW or (inside or whole) and element.size >= most):
+            out.append((element, named, not inside and 2 * element.linked >= element.size))
     return out
 
 
-def blocks(parts: list[Element], inside: bool, dropped: set[int]) -> list[str]:
-    """The text blocks of ``parts`` in page order without what is ruled out; ``dropped``: ids of template elements."""
+def blocks(parts: list[Element], dropped: set[int], ruled: Callable[[Element], bool]) -> list[str]:
+    """The text blocks of ``parts`` in page order without what ``ruled`` rules out; ``dropped``: ids of template elements."""
     out: list[str] = []
     line: list[str] = []
 
@@ -200,7 +236,7 @@ def blocks(parts: list[Element], inside: bool, dropped: set[int]) -> list[str]:
                 line.append(node)
             elif ended:
                 close()
-            elif id(node) not in dropped and not (node is not part and ruled_out(node, inside)):
+            elif id(node) not in dropped and not (node is not part and ruled(node)):
                 if node.name in BLOCK:
                     close()
                     todo.append((node, True))
