@@ -12,15 +12,21 @@ about sqrt(n) blocks by a hash of their id.  Each epoch orders the blocks, and
 the documents inside a block, by hashes of the epoch.  Whole epochs are read
 in full; of the last one the blocks come in its order until the budget is
 spent, the block that crosses the line document by document.  No task ever
-holds more than about sqrt(n) rows of a source, however large its share.
+holds more than about sqrt(n) documents of a source, however large its share:
+what is known of a source or block is small and joins the documents by a
+broadcast of measured size, and rows that repeat an id and a length are one
+row with their number until the end.
 
 Five levels of the bisection are evaluated in one aggregate over the table of
 sources, so the driver sees 31 numbers a pass and never the sources.
 
 Defined cases: a null source is a source of its own; a null or blank text has
 no tokens and comes once in every whole epoch; a source without tokens comes
-once; an empty table gives an empty result; documents that repeat an id are
-scheduled each on its own, and share their place where they tie.
+once; an empty table gives an empty result.  Rows that repeat an id are
+scheduled each on its own; those that also have equal numbers of tokens are
+numbered apart in any order, and where a last epoch has room for some of them
+only, ``mixed`` copies that of the least hash as often.  Null ids are equal to
+each other and to nothing else.  Other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attached, cut
 
 #: Words are what stands between the six ASCII blanks.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -51,14 +57,18 @@ def hashed(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def n_tokens(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def counted(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(doc_id, source, n_tokens) of every row; a null source becomes the text '\\0null', which no real one should be."""
-    tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source), F.lit("\0null")).alias("source"), tokens.alias("n_tokens"))
+    """(source, doc_id, n_tokens, m): the rows of ``docs``; m of them are alike."""
+    rows = docs.select(F.col(source).alias("source"), F.col(key).alias("doc_id"), n_tokens(F.col(text)).alias("n_tokens"))
+    return rows.groupBy("source", "doc_id", "n_tokens").agg(F.count("*").alias("m"))
 
 
 def source_totals(words: DataFrame) -> DataFrame:
-    return words.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+    return words.groupBy("source").agg(F.sum("m").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("m")).alias("tokens"))
 
 
 def exponent(totals: DataFrame, target: Target) -> float:
@@ -111,53 +121,62 @@ def block_of(blocks: Column, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(id_hash, 1, 8), 16, 10).cast("long"), blocks.cast("long")).cast("int")
 
 
-def plan(words: DataFrame, target: Target = Target(), seed: int = 0) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Two tables: blocks (source, block, epochs, last, before) and the documents of crossing blocks (doc_id, source, block, last).
+def plan(words: DataFrame, target: Target, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of counted rows: sources (source, blocks), the rows with their block, blocks (source, block, epochs, last), and the rows of crossing blocks that the last epoch takes, with the number ``t`` taken of the ``m``.
 
-    ``last`` of a block: 1 all its documents are in the last, partial epoch, 0 none, null those listed in the second table.
+    ``last`` of a block: 1 all its documents are in the last, partial epoch, 0 none, null those listed in the last table.
     """
     granted = cut(budgets(cut(source_totals(words)), target))
-    located = words.join(granted.select("source", "blocks"), "source").withColumn("block", block_of(F.col("blocks"), seed))
-    sums = located.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    blocks = sums.join(granted.select("source", "epochs", "rest"), "source")
+    sources = granted.select("source", "blocks")
+    located = attached(words, sources, ["source"], "doc_id").withColumn("block", block_of(F.col("blocks"), seed)).drop("blocks")
+    sums = located.groupBy("source", "block").agg(F.sum(F.col("n_tokens") * F.col("m")).alias("block_tokens"))
+    blocks = attached(sums, granted.select("source", "epochs", "rest"), ["source"], "block")
     order = Window.partitionBy("source").orderBy(hashed(F.lit(f"order{seed}"), F.col("epochs"), F.col("block")), "block")
     before = F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")
     blocks = blocks.withColumn("before", before).withColumn("left", F.greatest(F.col("rest") - F.col("before"), F.lit(0)))
     blocks = cut(blocks.withColumn("last", F.when(F.col("left") == 0, 0).when(F.col("left") >= F.col("block_tokens"), 1)).select("source", "block", "epochs", "last", "left"))
-    crossing = located.join(blocks.where("last is null"), ["source", "block"])
+    crossing = attached(located, blocks.where("last is null").select("source", "block", "epochs", "left"), ["source", "block"])
     inner = Window.partitionBy("source", "block").orderBy(hashed(F.lit(f"row{seed}"), F.col("epochs"), F.col("doc_id")), "doc_id", "n_tokens")
-    reached = F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    taken = crossing.withColumn("reached", reached).where("reached < left")
-    return blocks, taken.select("doc_id", "source", "block", "n_tokens")
+    tokens = F.col("n_tokens") * F.col("m")
+    reached = F.sum(tokens).over(inner.rowsBetween(Window.unboundedPreceding, 0)) - tokens
+    t = F.when(F.col("n_tokens") > 0, F.least(F.col("m"), F.ceil((F.col("left") - F.col("reached")) / F.col("n_tokens")))).otherwise(F.col("m"))
+    taken = crossing.withColumn("reached", reached).where("reached < left").withColumn("t", t.cast("long"))
+    return sources, located, blocks.drop("left"), cut(taken.select("source", "doc_id", "n_tokens", "m", "block", "epochs", "t"))
 
 
 def scheduled(docs: DataFrame, target: Target = Target(), seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:  # noqa: B008
     """(doc_id, source, n_tokens, epoch, block, block_pos, doc_pos): every document in every epoch that reads it, with the place of its block in the epoch and its own in the block."""
-    words = cut(counted(docs, text, source, key))
-    blocks, partial = plan(words, target, seed)
-    count = words.groupBy("source").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("blocks"))
-    located = words.join(count, "source").withColumn("block", block_of(F.col("blocks"), seed)).drop("blocks")
-    whole = located.join(blocks, ["source", "block"]).withColumn("epoch", F.explode(F.expr("filter(sequence(0, epochs), e -> e < epochs or last = 1)")))
-    rows = whole.select("doc_id", "source", "block", "n_tokens", "epoch").unionByName(
-        partial.join(blocks.select("source", "block", "epochs"), ["source", "block"]).select("doc_id", "source", "block", "n_tokens", F.col("epochs").alias("epoch"))
-    )
+    _, located, blocks, taken = plan(cut(counted(docs, text, source, key)), target, seed)
+    whole = attached(located, blocks, ["source", "block"]).withColumn("epoch", F.explode(F.expr("filter(sequence(0, epochs), e -> e < epochs or last = 1)")))
+    names = ["source", "block", "doc_id", "n_tokens", "m", "epoch"]
+    rows = whole.select(*names).unionByName(taken.select("source", "block", "doc_id", "n_tokens", F.col("t").alias("m"), F.col("epochs").alias("epoch")))
     places = blocks.withColumn("epoch", F.explode(F.expr("sequence(0, epochs)")))
     by_hash = Window.partitionBy("source", "epoch").orderBy(hashed(F.lit(f"order{seed}"), F.col("epoch"), F.col("block")), "block")
-    places = places.select("source", "block", "epoch", F.row_number().over(by_hash).alias("block_pos"))
+    places = cut(places.select("source", "block", "epoch", F.row_number().over(by_hash).alias("block_pos")))
     inner = Window.partitionBy("source", "block", "epoch").orderBy(hashed(F.lit(f"row{seed}"), F.col("epoch"), F.col("doc_id")), "doc_id", "n_tokens")
-    return rows.join(places, ["source", "block", "epoch"]).withColumn("doc_pos", F.row_number().over(inner)).select(
-        "doc_id", F.nullif("source", F.lit("\0null")).alias("source"), "n_tokens", "epoch", "block", "block_pos", "doc_pos"
-    )
+    upto = F.sum("m").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    placed = attached(rows.withColumn("upto", upto), places, ["source", "block", "epoch"])
+    each = placed.withColumn("doc_pos", F.explode(F.expr("sequence(upto - m + 1, upto)")))
+    return each.select("doc_id", "source", "n_tokens", "epoch", "block", "block_pos", F.col("doc_pos").cast("int").alias("doc_pos"))
 
 
 def mixed(docs: DataFrame, target: Target = Target(), seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:  # noqa: B008
-    """The rows of ``docs``, each as often as the mixture reads it. Texts are not shuffled: blocks and the short list of crossing documents join them by their ids."""
-    words = cut(counted(docs, text, source, key))
-    blocks, partial = plan(words, target, seed)
-    count = words.groupBy("source").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("_blocks"))
-    named = docs.withColumn("_source", F.coalesce(F.col(source), F.lit("\0null"))).withColumn("doc_id", F.col(key))
-    located = named.join(count.withColumnRenamed("source", "_source"), "_source").withColumn("_block", block_of(F.col("_blocks"), seed))
-    times = blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), (F.col("epochs") + F.coalesce("last", F.lit(0))).alias("_times"))
-    extra = partial.select("source", "block", "doc_id").distinct().select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.lit(1).alias("_extra"))
-    located = located.join(times, ["_source", "_block"]).withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(extra, ["_source", "_block", "_id"], "left")
-    return located.withColumn("_copy", F.explode(F.expr("filter(sequence(0, _times + coalesce(_extra, 0)), c -> c > 0)"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mixture reads it. Texts are not shuffled: what is known of blocks and the short list of crossing documents come to them."""
+    sources, _, blocks, taken = plan(cut(counted(docs, text, source, key)), target, seed)
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so no name can clash
+    named = docs.select(F.col(source).alias("source"), F.col(key).alias("doc_id"), whole_row)
+    located = attached(named, sources, ["source"], "doc_id").withColumn("block", block_of(F.col("blocks"), seed)).drop("blocks")
+    times = blocks.select("source", "block", (F.col("epochs") + F.coalesce("last", F.lit(0))).alias("times"))
+    located = attached(located, times, ["source", "block"])
+    # few rows are in a last epoch that takes a part of their block: only theirs are the tokens counted again
+    lengths = taken.where("t = m").groupBy("source", "doc_id").agg(F.collect_list("n_tokens").alias("lengths")).withColumn("some", F.lit(True))
+    ids = located.select("source", "doc_id", "row", "times")
+    own = n_tokens(F.col("row").getField(text))
+    extra = attached(ids, lengths, ["source", "doc_id"], how="left").withColumn("extra", F.when(F.col("some"), F.array_contains("lengths", own).cast("int")).otherwise(F.lit(0)))
+    out = extra.withColumn("copy", F.explode(F.expr("filter(sequence(0, times + extra), c -> c > 0)"))).select("row.*")
+    part = taken.where("t < m").select("source", "doc_id", "n_tokens", "t")
+    if part.isEmpty():
+        return out
+    alike = attached(named.withColumn("n_tokens", n_tokens(F.col("row").getField(text))), part, ["source", "doc_id", "n_tokens"], "n_tokens")
+    one = alike.groupBy("source", "doc_id", "n_tokens", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.withColumn("copy", F.explode(F.expr("sequence(1, t)"))).select("row.*"))

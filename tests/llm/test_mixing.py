@@ -1,3 +1,4 @@
+import functools
 import math
 from collections import Counter, defaultdict
 
@@ -67,11 +68,29 @@ def test_budgets_and_permutations(spark, target):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(r["doc_id"] for r in got)
 
 
-def test_cover_loses_nothing(spark):
-    rows = corpus() + [(None, "no id here", "big"), (5, "twice", "big"), (5, "twice", "big")]
-    got = Counter(r["doc_id"] for r in mixing.mixed(docs(spark, rows)).collect())
-    for i, n in Counter(i for i, _, _ in rows).items():
-        assert n <= got[i] <= 2 * n + n
+@pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(repetition_limit=1.5, budget=30_000)])
+def test_mixed_reads_what_is_scheduled(spark, target, monkeypatch):
+    """Repeated and null ids, -1 among them: as many copies of each as scheduled, and no document is lost where every source is covered."""
+    rows = corpus() + [(None, "no id here", "big"), (None, "none here either", "mid"), (-1, "minus one", "big")] + [(5, "twice", "big")] * 2 + [(1000 + k, "again and again", "mid") for k in range(60)] + [(1001, "x " * 5, "mid")] * 40
+    df = docs(spark, rows)
+    want = Counter((r["doc_id"], r["source"], r["n_tokens"]) for r in mixing.scheduled(df, target).collect())
+    count = lambda found: Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in found.collect())
+    assert count(mixing.mixed(df, target)) == want
+    if target.budget is None:
+        assert set(want) == {(i, s, len((t or "").split())) for i, t, s in rows}
+        assert all(want[k] >= n for k, n in Counter((i, s, len((t or "").split())) for i, t, s in rows).items())
+    # and the same without any broadcast
+    monkeypatch.setattr(mixing, "attached", functools.partial(mixing.attached, limit=-1))
+    assert count(mixing.mixed(df, target)) == want
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    own = ["k", "doc_id", "_block", "_source", "row", "times", "copy", "m", "n_tokens", "a.b", "text", "origin"]
+    rows = [(k, 100 + k, 1, "s", "r", 7, 8, 9, 10, "dot", f"word{k} " * (1 + k % 5), "big" if k % 3 else "small") for k in range(120)]
+    found = mixing.mixed(spark.createDataFrame(rows, own), source="origin", key="k")
+    assert found.columns == own
+    got = Counter(tuple(r) for r in found.collect())
+    assert set(got) == set(rows) and set(got.values()) == {1, 2}
 
 
 def test_nothing(spark):
