@@ -11,10 +11,18 @@ by a hash of the id, so the same rows at every run); Spark ML fits the
 machines.  Prediction is one pass over whole texts with the fitted weights,
 ``FEATURES`` x machines numbers.
 
+``accepted`` rejects texts that the machines do not place: a text of at least
+``EVIDENCE`` trigrams whose margin is below ``SLACK`` of the margin that all but
+``ODD`` of the correctly predicted rows of that size in the labelled sample
+have, so writing unlike all learned languages goes and shorter texts stay.
+
 Defined cases: a null text or one without any letter gets ``und`` with score 0;
-so does every text when no labelled row exists.  One known language is
-predicted for all other texts with score 1.  Ties go to the name that sorts
-first.  Repeated rows are predicted alike; other columns are kept.
+so does every text when no labelled row exists (``accepted`` then keeps what
+has a letter).  Rows labelled null or ``und`` teach nothing, nor do those
+without a letter, and of more than ``MOST_LANGUAGES`` labels the most frequent
+are learned.  One known language is predicted for all other texts with score
+1.  Ties go to the name that sorts first.  Repeated rows are predicted alike;
+other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -37,6 +45,10 @@ from .common import cut
 FEATURES = 1 << 14
 #: At most so many labelled rows of each language are read in training.
 PER_LANGUAGE = 1000
+#: At most so many labels are learned.
+MOST_LANGUAGES = 256
+#: When a margin is too low: texts of fewer trigrams are not judged by it; see ``accepted``.
+EVIDENCE, SLACK, ODD = 200, 0.25, 0.002
 UNDETERMINED = "und"
 
 # Families of ISO 639-1 codes; a code not listed is its own family.
@@ -84,22 +96,21 @@ def normal(text: str) -> bytes:
 
 
 def to_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, cells, shares): the training features."""
+    """(lang, text) to (lang, features, text): the training features as sparse vectors, a struct of Spark ML's layout."""
+    sparse = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
     for batch in batches:
-        rows = {"lang": [], "cells": [], "shares": []}
+        langs, found, texts = [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if has_letter(text):
                 counts = np.bincount(cells(normal(text)), minlength=FEATURES + 1)[:FEATURES]
                 at = np.flatnonzero(counts)
-                rows["lang"].append(lang)
-                rows["cells"].append(at.astype(np.int32))
-                rows["shares"].append(1000.0 * counts[at] / max(1, counts.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["lang"], pa.string()), pa.array(rows["cells"], pa.list_(pa.int32())), pa.array(rows["shares"], pa.list_(pa.float64()))], ["lang", "cells", "shares"])
+                langs.append(lang)
+                found.append({"type": 0, "size": FEATURES, "indices": at.astype(np.int32), "values": 1000.0 * counts[at] / max(1, counts.sum())})
+                texts.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, sparse), pa.array(texts, pa.string())], ["lang", "features", "text"])
 
 
-@F.udf(VectorUDT())
-def as_vector(at, shares):
-    return SparseVector(FEATURES, at, shares)
+VECTORS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("features", VectorUDT()), T.StructField("text", T.StringType())])
 
 
 @dataclass
@@ -110,6 +121,7 @@ class Model:
     pairs: list[tuple[str, str]] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES + 1), dtype=np.float32))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    least: float = 0.0  # a margin below it places no text of enough evidence
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """Machines x texts: the signed distance; positive speaks for the first of the pair."""
@@ -132,18 +144,28 @@ class Model:
         best = min(names, key=lambda x: (-votes[x], -sums[x], x))
         return best, min((m if best == a else -m for (a, b), m in margin.items() if best in (a, b) and a in votes and b in votes), default=np.inf)
 
-    def predict(self, text: str | None, margin: np.ndarray) -> tuple[str, float]:
+    def place(self, margin: np.ndarray) -> tuple[str, float]:
+        """The language, and the least margin that the decision rests on."""
         by = dict(zip(self.pairs, margin, strict=True))
         family, sure = self.decide(sorted(self.families), by)
         lang, within = self.decide(self.families[family], by)
-        # the logistic of the least margin that the decision rests on
-        return lang, float(1 / (1 + np.exp(-2 * min(sure, within, 30.0))))
+        return lang, min(sure, within)
+
+    def of_texts(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, margin, trigrams) of each text."""
+        found = [(UNDETERMINED, -np.inf, 0)] * len(texts)
+        able = [k for k, t in enumerate(texts) if self.families and has_letter(t)]
+        forms = [normal(texts[k]) for k in able]
+        for k, form, m in zip(able, forms, self.margins(forms).T, strict=True):
+            found[k] = (*self.place(m), len(form))
+        return found
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, iterations: int = 12) -> Model:
     """Fit on at most ``per_language`` rows of each language of ``labelled`` (doc_id, text, lang)."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return Model()
     # a hash below its language's share is kept, so only a bounded sample is ever sorted
@@ -154,9 +176,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, iterations: int
         .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text"))))
         .where(F.col("_rank") <= per_language)
     )
-    # two steps with a cut between: in one, every task would hold two Python workers, which stay in memory for later stages
-    counted = cut(picked.select("lang", "text").mapInArrow(to_vectors, "lang string, cells array<int>, shares array<double>"))
-    vectors = cut(counted.select("lang", as_vector("cells", "shares").alias("features")))
+    vectors = cut(picked.select("lang", "text").mapInArrow(to_vectors, VECTORS).coalesce(8))  # a bounded sample, read again and again
     families: dict[str, list[str]] = {}
     for lang in sorted(r["lang"] for r in vectors.select("lang").distinct().collect()):
         families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
@@ -168,7 +188,17 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, iterations: int
         fitted = LinearSVC(maxIter=iterations, regParam=0.01, standardization=True).fit(rows)
         weights[k, :FEATURES] = fitted.coefficients.toArray()
         offsets[k] = fitted.intercept
-    return Model(families, pairs, weights, offsets)
+    model = Model(families, pairs, weights, offsets)
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            placed = zip(batch.column(0).to_pylist(), model.of_texts(batch.column(1).to_pylist()), strict=True)
+            margins = [m for lang, (found, m, n) in placed if found == lang and n >= EVIDENCE and np.isfinite(m)]
+            yield pa.RecordBatch.from_arrays([pa.array(margins, pa.float64())], ["margin"])
+
+    least = vectors.select("lang", "text").mapInArrow(right, "margin double").agg(F.percentile("margin", F.lit(ODD))).first()[0]
+    model.least = SLACK * least if least is not None and least > 0 else 0.0
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -179,17 +209,25 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            able = [k for k, t in enumerate(texts) if model.families and has_letter(t)]
-            margin = model.margins([normal(texts[k]) for k in able])
-            found = [(UNDETERMINED, 0.0)] * len(texts)
-            for k, m in zip(able, margin.T, strict=True):
-                found[k] = model.predict(texts[k], m)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
+            found = model.of_texts(batch.column(at).to_pylist())
+            # the logistic of the margin; without a rival, certain
+            scores = [0.0 if m == -np.inf else 1.0 if m == np.inf else float(1 / (1 + np.exp(-2 * max(min(m, 30.0), -30.0)))) for _, m, _ in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array(scores, pa.float64())], names)
 
     return docs.mapInArrow(predict, schema)
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; the others are rejected. Columns stay as they are."""
-    return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model places in a language; the others are rejected. Columns, whatever their names, stay as they are."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if model.families:
+                kept = [lang != UNDETERMINED and (n < EVIDENCE or m >= model.least) for lang, m, n in model.of_texts(texts)]
+            else:
+                kept = [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

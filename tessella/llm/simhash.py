@@ -22,7 +22,7 @@ compared in the task that holds it; what is near enough is decided by the exact
 Jaccard similarity of the whole shingle sets.  A first pass gives every set only
 its least neighbours (in ``ORDERS`` orders) as candidates, which joins most
 of a large group without its pairs; a second pass over the sets with neighbours gives every
-near pair whose ends are still apart, so none is left out.
+near pair whose ends are in different components so far, so none is left out.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which is
 linked like any other; repeated rows get equal values; the component id is the
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut
+from .common import byte_values, cut, joined
 from .components import components
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
@@ -119,13 +119,13 @@ def close_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     marked = cut(fingerprints(docs, text, key, words))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = cut(components(close_pairs(distinct.select("fp"), radius)))
     linked = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp").select("fp", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("fp", F.struct("component_id").alias("c"))
-    ids = distinct.join(of_linked, "fp", "left").select("fp", F.when(F.col("c").isNotNull(), F.col("c.component_id")).otherwise(F.col("first")).alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = distinct.join(of_linked, "fp", "left").select("fp", F.when(F.col("c").isNotNull(), F.col("c.component_id")).otherwise(F.col("first")).alias("component_id"), "n")
+    return joined(marked, cut(ids), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def part_masks(radius: int, parts: int = PARTS) -> list[int]:
@@ -224,7 +224,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """(doc_id, fp, component_id) for every row of ``docs`` with a doc_id: components of the links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``, found within ``radius``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = cut(shingle_points(docs, words))
-    points = cut(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("first")).withColumn("root", F.col("digest")))
+    points = cut(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("root", F.col("digest")))
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are similar: the whole sets are compared."""
@@ -238,18 +238,19 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     with_neighbours = cut(points.join(ends, "digest"))
     sets = cut(shingle_sets(docs.join(with_neighbours.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).join(ends, "digest", "left_semi"))
     links = linked(first, sets)
-    # sets with the same linked neighbour are in one component already
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    roots = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("digest"), F.least("m", rank("a")).getField("v").alias("root"))
-    apart = with_neighbours.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    links = links.unionByName(linked(cut(candidates(cut(apart), radius, similarity, True)), sets))
+    # what is joined already needs no more pairs, however large the group
     roots = cut(components(links)).withColumnRenamed("vertex", "digest")
+    apart = cut(with_neighbours.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    more = linked(cut(candidates(apart, radius, similarity, True)), sets)
+    to = lambda c: apart.select(F.col("digest").alias(c), F.col("root").alias(f"{c}_root"))
+    between = more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    last = cut(components(between)).select(F.col("vertex").alias("root"), F.col("root").alias("last"))
     grouped = points.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    grouped = cut(grouped.select("digest", "root", "first"))
+    grouped = grouped.join(last, "root", "left").withColumn("root", F.coalesce("last", "root"))
+    grouped = cut(grouped.select("digest", "root", "first", "rows"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = grouped.join(smallest, "root").select("digest", "component_id")
-    return marked.join(ids, "digest").select("doc_id", "fp", "component_id")
+    ids = cut(grouped.join(smallest, "root").select("digest", "component_id", "rows"))
+    return joined(marked, ids, "digest", "rows").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
