@@ -12,9 +12,9 @@ machines.  Prediction is one pass over whole texts with the fitted weights,
 ``FEATURES`` x machines numbers.
 
 ``accepted`` rejects texts that the machines do not place: a text of at least
-``EVIDENCE`` trigrams whose margin is below ``SLACK`` of the margin that all but
-``ODD`` of the correctly predicted rows of that size in the labelled sample
-have, so writing unlike all learned languages goes and shorter texts stay.
+``EVIDENCE`` trigrams whose margin is below ``SLACK`` of the least margin that
+the correctly predicted rows of that size in the labelled sample have, so
+writing unlike all learned languages goes and shorter texts stay.
 
 Defined cases: a null text or one without any letter gets ``und`` with score 0;
 so does every text when no labelled row exists (``accepted`` then keeps what
@@ -48,7 +48,7 @@ PER_LANGUAGE = 1000
 #: At most so many labels are learned.
 MOST_LANGUAGES = 256
 #: When a margin is too low: texts of fewer trigrams are not judged by it; see ``accepted``.
-EVIDENCE, SLACK, ODD = 200, 0.25, 0.002
+EVIDENCE, SLACK = 200, 0.5
 UNDETERMINED = "und"
 
 # Families of ISO 639-1 codes; a code not listed is its own family.
@@ -196,7 +196,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, iterations: int
             margins = [m for lang, (found, m, n) in placed if found == lang and n >= EVIDENCE and np.isfinite(m)]
             yield pa.RecordBatch.from_arrays([pa.array(margins, pa.float64())], ["margin"])
 
-    least = vectors.select("lang", "text").mapInArrow(right, "margin double").agg(F.percentile("margin", F.lit(ODD))).first()[0]
+    least = vectors.select("lang", "text").mapInArrow(right, "margin double").agg(F.min("margin")).first()[0]
     model.least = SLACK * least if least is not None and least > 0 else 0.0
     return model
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessella.llm import components, simhash
@@ -101,7 +102,9 @@ def test_links_are_exact_on_a_dense_cluster(spark):
                 assert find(simhash.signed(fps[i])) == find(simhash.signed(fps[i + 1 + j]))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 50, 50_000])  # rounds only, rounds and then one task, one task
+def test_components_of_chains_and_stars(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
     found = {r["vertex"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(found) == 301 + 400 + 2
