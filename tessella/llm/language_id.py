@@ -48,7 +48,7 @@ PER_LANGUAGE = 1000
 #: At most so many labels are learned.
 MOST_LANGUAGES = 256
 #: When a margin is too low: texts of fewer trigrams are not judged by it; see ``accepted``.
-EVIDENCE, SLACK = 200, 0.5
+EVIDENCE, SLACK = 200, 0.25
 UNDETERMINED = "und"
 
 # Families of ISO 639-1 codes; a code not listed is its own family.

@@ -1,7 +1,8 @@
 """Scoring documents by a subword lattice: the probability of a text is summed over all its segmentations.
 
-The vocabulary is that of a stored sentencepiece model.  Its scores rank the
-pieces; they are the prior of a unigram model (1 / (rank + 10), normalised)
+The vocabulary is that of a stored sentencepiece model.  No unigram model is at
+hand, only one of byte-pair merges, whose scores rank the pieces: they are the
+prior of a unigram model (1 / (rank + 10), normalised)
 which one expectation step over the word counts of the training documents
 turns into probabilities.  A word, with the mark of a word's start before it,
 is a lattice over its UTF-8 bytes: an edge for every piece that matches, and
@@ -35,6 +36,8 @@ from .common import byte_values, cut
 
 #: Words of at least total / HEAVY tokens are broadcast: at most HEAVY of them.
 HEAVY = 500_000
+#: No more bytes of words than this are broadcast: where they would be more, only those of more tokens are.
+HEAVY_BYTES = 16 << 20
 #: No word can hold a newline: it stands for the end of a document.
 END = b"\n"
 START = "▁".encode()
@@ -156,7 +159,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def fit(words: DataFrame, pieces: list[tuple[bytes, float]]) -> tuple[list[tuple[bytes, float]], float]:
-    """Piece weights, and the end symbol's log probability, after one expectation step over the training words."""
+    """Piece weights after one expectation step over the training words, and the log probability that the text ends where a word could begin."""
     spark = words.sparkSession
     prior = spark.sparkContext.broadcast(pieces)
     size = len(pieces)
@@ -170,13 +173,13 @@ def fit(words: DataFrame, pieces: list[tuple[bytes, float]]) -> tuple[list[tuple
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(expected[used])], ["piece", "n"])
 
     sums = words.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    ends = (words.where(F.col("word") == F.lit(END)).agg(F.sum("c").alias("n")).first()["n"] or 0) + SMOOTHING
+    seen = words.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
+    ends, tokens = (seen["ends"] or 0) + SMOOTHING, (seen["all"] or 0) + 2 * SMOOTHING
     prior_total = sum(w for _, w in pieces)
     weights = [SMOOTHING * size * w / prior_total for _, w in pieces]
     for row in sums:
         weights[row["piece"]] += row["n"]
-    total = sum(weights)
-    return [(data, w) for (data, _), w in zip(pieces, weights, strict=True)], math.log(ends / (total + ends))
+    return [(data, w) for (data, _), w in zip(pieces, weights, strict=True)], math.log(ends / tokens)
 
 
 def score(docs: DataFrame, held_out: Column, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -191,7 +194,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, text: str = "text"
         found, goes_on = model.value
         lattice = Lattice(found)
         for batch in batches:
-            # each piece is drawn after deciding not to end; the word's lattice carries that per word
+            # before each word it is drawn that the text goes on
             logs = [(lattice.forward(START + w) + goes_on) / math.log(10) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "a", "p"])
 
@@ -199,6 +202,8 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, text: str = "text"
     totals = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("a").alias("a"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
     n, v, ends = totals["n"] or 0, totals["v"] or 0, totals["ends"] or 0
     least = max(2, -(-(totals["a"] or 0) // HEAVY))
+    while least < (totals["a"] or 0) and (words.where(F.col("a") >= least).agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) > HEAVY_BYTES:
+        least *= 2
     heavy_rows = words.where(F.col("a") >= least).select("word", "c", "p").toArrow()
     heavy = spark.sparkContext.broadcast({w: (math.log10(c + SMOOTHING), c > 0, p) for w, c, p in zip(*(heavy_rows.column(k).to_pylist() for k in range(3)), strict=True)})
     end_p, end_base = end_log / math.log(10), math.log10(ends + SMOOTHING)

@@ -65,8 +65,10 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
 
 
 def dealt(rows: DataFrame, key: str, cuts: list[int], *order: str) -> DataFrame:
-    """``rows`` with ``shard``, a shard wholly in one partition, sorted by (shard, key, order). Four times as many partitions as shards: few shards share one."""
-    return rows.withColumn("shard", shard_of(F.col(key), cuts)).repartition(4 * (len(cuts) + 1), "shard").sortWithinPartitions("shard", key, *order)
+    """``rows`` with ``shard``, a shard wholly in one partition and alone in it, sorted by (shard, key, order)."""
+    shards = len(cuts) + 1
+    dealt = rows.withColumn("shard", shard_of(F.col(key), cuts)).repartitionById(shards, F.col("shard"))
+    return dealt.sortWithinPartitions("shard", key, *order)
 
 
 class Output:

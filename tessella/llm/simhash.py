@@ -20,9 +20,10 @@ cut into three parts, one of which differs in at most a third of the radius and
 collides in that part's covering family.  Fingerprints of one bucket are
 compared in the task that holds it; what is near enough is decided by the exact
 Jaccard similarity of the whole shingle sets.  A first pass gives every set only
-its least neighbours (in ``ORDERS`` orders) as candidates, which joins most
-of a large group without its pairs; a second pass over the sets with neighbours gives every
-near pair whose ends are in different components so far, so none is left out.
+``ORDERS`` neighbours as candidates, the nearest and the least in further
+orders, which joins most of a large group without its pairs; a second pass over the sets with neighbours gives every
+near pair whose ends are in different components so far, so none is left out;
+sets that have too few shingles in common with other components stay out of it.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which is
 linked like any other; repeated rows get equal values; the component id is the
@@ -46,6 +47,8 @@ from .components import components
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 #: For ``similar_documents``: parts of a fingerprint, orders of the first pass, and how far the second fingerprints of a candidate may differ.
 PARTS, ORDERS, SECOND_RADIUS = 3, 3, 20
+#: How often sets that share too few shingles are taken out before the second pass.
+PRUNED = 2
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 POINT = "digest long, fp long, fp2 long, n int"
 
@@ -171,22 +174,24 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -> DataFrame:
-    """(a, b) of different points (POINT, and ``root``) whose fingerprints are within ``radius`` and whose sizes allow ``similarity``: every pair of two roots, or each point's least neighbours only."""
+    """(a, b) of different points (POINT, and ``root``) whose fingerprints are within ``radius`` and whose sizes allow ``similarity``: every pair of two roots, or each point's nearest and least neighbours only."""
     kept = part_masks(radius)
     table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(signed(m)).alias("mask")) for v, m in enumerate(kept)])
-    keyed = points.select("digest", "fp", "fp2", "n", "root", F.explode(table).alias("t"))
-    keyed = keyed.select(F.xxhash64("t.v", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), "digest", "fp", "fp2", "n", "root")
+    keyed = points.select("digest", "fp", "fp2", "n", "most", "root", F.explode(table).alias("t"))
+    keyed = keyed.select(F.xxhash64("t.v", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), "digest", "fp", "fp2", "n", "most", "root")
 
     def near(rows: np.ndarray) -> Iterator[np.ndarray]:
-        digest, fp, fp2, n, root = rows
+        digest, fp, fp2, n, most, root = rows
         for start in range(0, len(digest), 256):
             x = slice(start, start + 256)
             close = np.bitwise_count(fp[x, None].view(np.uint64) ^ fp.view(np.uint64)) <= radius
             close &= digest[x, None] != digest
             i, j = np.nonzero(close)
             i += start
-            fit = np.bitwise_count(fp2[i].view(np.uint64) ^ fp2[j].view(np.uint64)) <= SECOND_RADIUS
-            fit &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            apart = np.bitwise_count(fp2[i].view(np.uint64) ^ fp2[j].view(np.uint64))
+            fit = apart <= SECOND_RADIUS
+            fit &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            fit &= (1 + similarity) * np.minimum(most[i], most[j]) >= similarity * (n[i] + n[j]) - 1e-6
             if every:
                 fit &= (root[i] != root[j]) & (digest[i] < digest[j])
             i, j = i[fit], j[fit]
@@ -195,12 +200,15 @@ def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -
             elif len(i):
                 for k, m in enumerate(ODD[:ORDERS]):
                     rank = ((digest[j].view(np.uint64) ^ np.uint64(m)) * np.uint64(m)).view(np.int64)
+                    if k == 0:  # the nearest by both fingerprints: what copies of a text were made from
+                        bits = apart[fit] + np.bitwise_count(fp[i].view(np.uint64) ^ fp[j].view(np.uint64))
+                        rank = (bits.astype(np.int64) << 48) + (rank & ((1 << 48) - 1))
                     o = np.lexsort((rank, i))
                     o = o[np.r_[True, np.diff(i[o]) > 0]]
                     yield np.stack([digest[i[o]], digest[j[o]], np.full(len(o), k), rank[o]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((6, 0), dtype=np.int64)
+        rest = np.zeros((7, 0), dtype=np.int64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
@@ -224,14 +232,14 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """(doc_id, fp, component_id) for every row of ``docs`` with a doc_id: components of the links between texts whose sets of shingles have a Jaccard similarity of at least ``similarity``, found within ``radius``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = cut(shingle_points(docs, words))
-    points = cut(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("root", F.col("digest")))
+    points = cut(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumns({"root": F.col("digest"), "most": F.col("n")}))
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are similar: the whole sets are compared."""
         end = lambda c: sets.select(F.col("digest").alias(c), F.col("hashes").alias(f"{c}_set"))
         both = pairs.join(end("a"), "a").join(end("b"), "b")
         shared = F.size(F.array_intersect("a_set", "b_set"))
-        return cut(both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"))
+        return cut(both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared) - 1e-6).select("a", "b"))
 
     first = cut(candidates(points, radius, similarity, False))
     ends = cut(first.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
@@ -240,7 +248,15 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = linked(first, sets)
     # what is joined already needs no more pairs, however large the group
     roots = cut(components(links)).withColumnRenamed("vertex", "digest")
-    apart = cut(with_neighbours.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    apart = cut(with_neighbours.drop("root", "most").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    # a shingle that no set of another component has can be in no further link: a set shares ``most`` others at most; where that is too few it goes, and may leave others too few
+    held = cut(sets.join(apart.select("digest", "root"), "digest").select("digest", "root", F.explode("hashes").alias("h")))
+    for _ in range(PRUNED):
+        common = held.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("h")
+        held = held.join(common, "h").select("digest", "root", "h")
+        most = held.groupBy("digest").agg(F.count("*").alias("most"))
+        apart = cut(apart.drop("most").join(most, "digest").where(F.col("most") >= F.lit(similarity) * F.col("n") - 1e-6))
+        held = cut(held.join(apart.select("digest"), "digest", "left_semi"))
     more = linked(cut(candidates(apart, radius, similarity, True)), sets)
     to = lambda c: apart.select(F.col("digest").alias(c), F.col("root").alias(f"{c}_root"))
     between = more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
