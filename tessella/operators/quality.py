@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import exclusive_quantile, ratio
+from ..joins import joined, scratch
 
 SHORT = 200
 
@@ -28,13 +29,15 @@ def duplicates(rows: DataFrame, text: str = "target", key: str = "id", form: str
     """Adds ``hash``, ``is_duplicate`` and ``first_key``: the first row in order of ``key`` stays, later ones with an equal normal form are duplicates.
 
     The least key of a hash is found by an aggregate that combines before its
-    shuffle and joined back, so a text that a third of the rows share is no
-    hot partition; rows that repeat a key are told apart by a row number.
+    shuffle; those of the most frequent hashes are broadcast (``joined``), so a
+    text that a third of the rows share is no hot partition; rows that repeat a key are told apart by a row number.
     """
     normal = T.normal_form if form == "normal" else T.dedup_form
     hashed = rows.withColumn("hash", T.digest(normal(F.coalesce(F.col(text), F.lit("")), decompose), digits))
-    first = hashed.groupBy("hash").agg(F.min(key).alias("first_key"))
-    return hashed.join(first, "hash").withColumn("is_duplicate", F.col(key) > F.col("first_key"))
+    first = hashed.groupBy("hash").agg(F.min(key).alias("first_key"), F.count("*").alias("_n"))
+    path = scratch(rows.sparkSession, "first-keys")
+    first.write.parquet(path)  # texts are hashed once for it and once in the join
+    return joined(hashed, rows.sparkSession.read.parquet(path), "hash", "_n", key).select(*rows.columns, "hash", "first_key").withColumn("is_duplicate", F.col(key) > F.col("first_key"))
 
 
 def quality_filter(rows: DataFrame, target: str = "target", retain: str = "retain", key: str = "id", decompose: bool = True) -> DataFrame:

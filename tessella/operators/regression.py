@@ -1,7 +1,9 @@
 """Small-sample regressions and resampling, one group (a domain, a primitive) a task.
 
 A group is a table of model scores, tens of rows; the groups are dealt out by
-Spark and solved with numpy in closed form.
+Spark and solved with numpy in closed form, its rows in order of ``key`` so
+that resamples are the same at every run.  Larger tables are to be aggregated
+to such groups first.
 """
 
 from __future__ import annotations
@@ -54,33 +56,35 @@ def _number(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
     return rows[columns].to_numpy(dtype=float)
 
 
-def ridge_by(rows: DataFrame, group: str, features: dict[str, list[str]], y: str, alpha: float = 1.0, least: int = 5) -> DataFrame:
+def ridge_by(rows: DataFrame, group: str, features: dict[str, list[str]], y: str, alpha: float = 1.0, least: int = 5, key: str | None = None) -> DataFrame:
     """(group, n, r2, betas): leave-one-out R2 and coefficients by name; ``features``: those of each group. Imputation sees all rows, also the one left out."""
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part[y].notna()].sort_index()
-        names = features.get(key[0], [])
+    def fit(group_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key) if key else part
+        part = part[part[y].notna()]
+        names = features.get(group_key[0], [])
         x, kept = imputed(_number(part, names)) if names else (np.empty((len(part), 0)), np.array([], dtype=bool))
         target = part[y].to_numpy(dtype=float)
         used = [n for n, k in zip(names, kept, strict=True) if k]
         score = loo_r2(x, target, alpha, least)
         betas = ridge(x, target, alpha)[0] if used and len(part) >= least else []
-        return pd.DataFrame({group: [key[0]], "n": [len(part)], "r2": [null_if_nan(score)], "betas": [dict(zip(used, map(float, betas), strict=False))]})
+        return pd.DataFrame({group: [group_key[0]], "n": [len(part)], "r2": [null_if_nan(score)], "betas": [dict(zip(used, map(float, betas), strict=False))]})
 
     return rows.groupBy(group).applyInPandas(fit, f"{group} string, n long, r2 double, betas map<string,double>")
 
 
-def sign_stability(rows: DataFrame, group: str, features: dict[str, list[str]], y: str, draws: int = 5000, seed: int = 42, alpha: float = 1.0) -> DataFrame:
+def sign_stability(rows: DataFrame, group: str, features: dict[str, list[str]], y: str, draws: int = 5000, seed: int = 42, alpha: float = 1.0, key: str | None = None) -> DataFrame:
     """(group, feature, p_positive, p_negative, verdict): how often a bootstrap coefficient has each sign. Every group draws with a generator of its own."""
     order = {g: k for k, g in enumerate(sorted(features))}
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part[y].notna()].sort_index()
-        names = features.get(key[0], [])
+    def fit(group_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key) if key else part
+        part = part[part[y].notna()]
+        names = features.get(group_key[0], [])
         out = []
         if names and len(part) >= 5:
             x, kept = imputed(_number(part, names))
-            target, rng = part[y].to_numpy(dtype=float), np.random.default_rng([seed, order[key[0]]])
+            target, rng = part[y].to_numpy(dtype=float), np.random.default_rng([seed, order[group_key[0]]])
             used = [n for n, k in zip(names, kept, strict=True) if k]
             signs = np.zeros((2, len(used)))
             for _ in range(draws):
@@ -89,33 +93,35 @@ def sign_stability(rows: DataFrame, group: str, features: dict[str, list[str]],
                 signs += (beta > 0), (beta < 0)
             for k, name in enumerate(used):
                 p = signs[0, k] / draws
-                out.append((key[0], name, p, signs[1, k] / draws, "hit" if p >= 0.95 else "miss" if p <= 0.05 else "underpowered"))
+                out.append((group_key[0], name, p, signs[1, k] / draws, "hit" if p >= 0.95 else "miss" if p <= 0.05 else "underpowered"))
         return pd.DataFrame(out, columns=[group, "feature", "p_positive", "p_negative", "verdict"])
 
     return rows.groupBy(group).applyInPandas(fit, f"{group} string, feature string, p_positive double, p_negative double, verdict string")
 
 
-def bootstrap_interval(rows: DataFrame, group: str, statistic: Callable[[pd.DataFrame], float], draws: int = 2000, seed: int = 0, least_valid: int = 100) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, group: str, statistic: Callable[[pd.DataFrame], float], draws: int = 2000, seed: int = 0, least_valid: int = 100, key: str | None = None) -> DataFrame:
     """(group, value, lo, hi): a statistic and its 95 % interval over resamples of the group's rows; null with too few valid draws."""
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def fit(group_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key) if key else part
         part = part.reset_index(drop=True)
         rng = np.random.default_rng(seed)
         found = np.array([statistic(part.iloc[rng.integers(0, len(part), len(part))]) for _ in range(draws)], dtype=float)
         found = found[~np.isnan(found)]
         lo, hi = np.percentile(found, [2.5, 97.5]) if len(found) >= least_valid else (None, None)
-        return pd.DataFrame({group: [key[0]], "value": [null_if_nan(statistic(part))], "lo": [lo], "hi": [hi]})
+        return pd.DataFrame({group: [group_key[0]], "value": [null_if_nan(statistic(part))], "lo": [lo], "hi": [hi]})
 
     return rows.groupBy(group).applyInPandas(fit, f"{group} string, value double, lo double, hi double")
 
 
 def eta2_of(part: pd.DataFrame, group: str = "family", y: str = "ca") -> float:
     """The statistic for ``bootstrap_interval``: NaN with fewer than two groups or without variance."""
-    total = ((part[y] - part[y].mean()) ** 2).sum()
-    if part[group].nunique() < 2 or not total:
+    values, at = part[y].to_numpy(dtype=float), np.unique(part[group].to_numpy(dtype=str), return_inverse=True)[1]
+    mean = values.mean()
+    total, sizes = ((values - mean) ** 2).sum(), np.bincount(at)
+    if len(sizes) < 2 or not total:
         return float("nan")
-    per = part.groupby(group)[y].agg(["size", "mean"])
-    return float((per["size"] * (per["mean"] - part[y].mean()) ** 2).sum() / total)
+    return float((sizes * (np.bincount(at, values) / sizes - mean) ** 2).sum() / total)
 
 
 def slope_of(part: pd.DataFrame, x: str = "log_params", y: str = "ca") -> float:
@@ -163,11 +169,12 @@ def lasso_cv(x: np.ndarray, y: np.ndarray, folds: int = 5, steps: int = 100, rat
     return lasso(xc, yc, best), float(best)
 
 
-def pairwise_lasso(rows: DataFrame, group: str, primitives: list[str], y: str, least: int = 10) -> DataFrame:
+def pairwise_lasso(rows: DataFrame, group: str, primitives: list[str], y: str, least: int = 10, key: str | None = None) -> DataFrame:
     """(group, alpha, n_survivors, top): which products of two scores a cross-validated lasso keeps, the three largest first."""
     from itertools import combinations
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def fit(group_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key) if key else part
         part = part[part[y].notna()]
         columns = [group, "alpha", "n_survivors", "top"]
         if len(part) < least:
@@ -180,7 +187,7 @@ def pairwise_lasso(rows: DataFrame, group: str, primitives: list[str], y: str, l
         products = (products - products.mean(axis=0)) / np.where(spread > 0, spread, 1)
         b, alpha = lasso_cv(products, part[y].to_numpy(dtype=float))
         alive = sorted((-abs(c), f"{used[i]} x {used[j]}") for (i, j), c in zip(pairs, b, strict=True) if abs(c) > 1e-9)
-        return pd.DataFrame([(key[0], alpha, len(alive), [name for _, name in alive[:3]])], columns=columns)
+        return pd.DataFrame([(group_key[0], alpha, len(alive), [name for _, name in alive[:3]])], columns=columns)
 
     return rows.groupBy(group).applyInPandas(fit, f"{group} string, alpha double, n_survivors long, top array<string>")
 

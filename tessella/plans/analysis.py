@@ -105,26 +105,63 @@ def mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.mean_sd(observations(spark, sf_dir), ["primitive"], "ca"))
 
 
+def nation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as models: the means of all their customers by segment, so a segment has 25 rows at any scale."""
+    means = [F.avg(c).alias(c) for c in ("log_params", "target", "retain", "ca")]
+    rows = observations(spark, sf_dir).groupBy("primitive", F.col("family").alias("model")).agg(*means)
+    return rows.withColumns({"family": (F.col("model") % 5).cast("string"), "other": (F.col("model") * 7 % 11).cast("double")})
+
+
 def ridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per segment: how well balance and family explain mean order totals."""
-    rows = observations(spark, sf_dir).select("primitive", F.col("family").cast("double").alias("family"), "log_params", "ca")
-    found = regression.ridge_by(rows, "primitive", {s: ["family", "log_params"] for s in SEGMENTS}, "ca")
+    """Per segment: how well balance and a number of the nation explain mean order totals."""
+    found = regression.ridge_by(nation_scores(spark, sf_dir), "primitive", {s: ["other", "log_params"] for s in SEGMENTS}, "ca", key="model")
     return rounded(found.select("primitive", "n", "r2", F.element_at("betas", "log_params").alias("beta")))
 
 
+def ridge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per segment: what the spread of order totals adds to the R2 that balance alone has."""
+    rows = nation_scores(spark, sf_dir)
+    fit = lambda names: regression.ridge_by(rows, "primitive", {s: names for s in SEGMENTS}, "ca", key="model")
+    base = fit(["log_params"]).select("primitive", F.col("r2").alias("base_r2"))
+    found = fit(["log_params", "retain"]).join(base, "primitive")
+    return rounded(found.select("primitive", "r2", "base_r2", (F.col("r2") - F.col("base_r2")).alias("delta"), F.element_at("betas", "retain").alias("beta")))
+
+
 def sign_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir).select("primitive", F.col("family").cast("double").alias("family"), "log_params", "ca")
-    return regression.sign_stability(rows, "primitive", {s: ["family", "log_params"] for s in SEGMENTS}, "ca", draws=200)
+    return regression.sign_stability(nation_scores(spark, sf_dir), "primitive", {s: ["other", "log_params"] for s in SEGMENTS}, "ca", key="model")
 
 
 def eta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir).select("primitive", F.col("family").cast("string").alias("family"), "ca")
-    return regression.bootstrap_interval(rows, "primitive", regression.eta2_of, draws=120)
+    return regression.bootstrap_interval(nation_scores(spark, sf_dir).select("primitive", "model", "family", "ca"), "primitive", regression.eta2_of, key="model")
+
+
+def slope_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes over all nations and within families, with their intervals."""
+    rows = nation_scores(spark, sf_dir).select("primitive", "model", "family", "log_params", "ca")
+    both = (("pooled", regression.slope_of), ("within", regression.within_slope_of))
+    found = [regression.bootstrap_interval(rows, "primitive", f, draws=1000, key="model").withColumn("kind", F.lit(name)) for name, f in both]
+    return found[0].unionByName(found[1])
 
 
 def pairwise_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir).select("primitive", "target", "retain", "log_params", "ca")
-    return regression.pairwise_lasso(rows, "primitive", ["target", "retain", "log_params"], "ca").select("primitive", "n_survivors")
+    return regression.pairwise_lasso(nation_scores(spark, sf_dir), "primitive", ["target", "retain", "log_params"], "ca", key="model")
+
+
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each resample of the nations holds: the sum of its keys and how many different ones."""
+    found = sampling.bootstrap_rows(table(spark, sf_dir, "nation"), "n_nationkey", 20)
+    return found.groupBy("draw").agg(F.sum("n_nationkey").cast("long").alias("sum"), F.count_distinct("n_nationkey").alias("different"))
+
+
+def linear_probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy in both folds and the norm of the weights."""
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") < 5).cast("int").alias("y"), "embedding", (F.col("vec_id") % 5 > 0).alias("fold"))
+    return regression.linear_probe(rows, "y", "embedding", "fold")
+
+
+def random_direction_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "embeddings").select("label").distinct()
+    return found.select("label", V.random_direction(16, 5, 2.5).alias("direction"))
 
 
 def bootstrap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +220,7 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.linear_probe(rows, "y", "embedding", "fold", iterations=30).select("train", "n")
 
 
-QUERIES = {f.__name__: f for f in (stratified_split, random_split, stratified_sample, shuffled_take, seed_grid, seed_draws, unique_draws, distinct_picks, ols_slopes, compression_modes, eta_squared, eta_squared_given, fixed_effects, pearson_pairs, pearson_zero_filled, loo_corr, mean_sd, ridge_loo, sign_stability, eta_bootstrap, pairwise_lasso, bootstrap_sizes, cosine_pairs, similarity_summary, label_centroids, direction_cosines, projected_out, pooled_vectors, random_directions, linear_probe)}
+QUERIES = {f.__name__: f for f in (stratified_split, random_split, stratified_sample, shuffled_take, seed_grid, seed_draws, unique_draws, distinct_picks, ols_slopes, compression_modes, eta_squared, eta_squared_given, fixed_effects, pearson_pairs, pearson_zero_filled, loo_corr, mean_sd, ridge_loo, ridge_delta, slope_bootstrap, bootstrap_means, linear_probe_scores, random_direction_values, sign_stability, eta_bootstrap, pairwise_lasso, bootstrap_sizes, cosine_pairs, similarity_summary, label_centroids, direction_cosines, projected_out, pooled_vectors, random_directions, linear_probe)}
 
 SUPPLIERS = "suppliers AS (SELECT l_suppkey, " + ", ".join(f"avg({m}) AS {m}" for m in MEASURES) + " FROM lineitem GROUP BY l_suppkey)"
 COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"

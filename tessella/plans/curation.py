@@ -56,7 +56,9 @@ def benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).withColumn("retain", F.right("target", F.lit(1000)))
+    """The retain side is the whole text of the document with the next id, empty for the last."""
+    pairs = _pairs(spark, sf_dir).drop("retain")
+    pairs = pairs.join(pairs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("target").alias("retain")), "doc_id", "left")
     return quality.flags(pairs).select("doc_id", "q1_empty", "q2_short", "bad_quality", "q_cjk")
 
 
@@ -103,14 +105,13 @@ def cjk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cjk_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.lit("ＡＢ１、。호텔漢字「あ」“ok”"), F.substring("text", 1, 20))
+    marked = F.concat(F.lit("ＡＢ１、。호텔漢字「あ」“ok”"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.repair_cjk(marked).alias("repaired"))
 
 
 def cjk_repaired_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired whole text of every document, where ``cjk_repaired`` and its SQL take the first 20 characters."""
-    marked = F.concat(F.lit("ＡＢ１、。호텔漢字「あ」“ok”"), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.repair_cjk(marked).alias("repaired"))
+    """The name under which ``cjk_repaired`` first took whole texts."""
+    return cjk_repaired(spark, sf_dir)
 
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,7 @@ ORACLES = {
     "quality_flags": """SELECT doc_id, trim(t) = '' OR trim(r) = '' AS q1_empty,
         NOT (trim(t) = '' OR trim(r) = '') AND (length(trim(t)) < 200 OR length(trim(r)) < 200) AS q2_short,
         length(trim(t)) < 200 OR length(trim(r)) < 200 AS bad_quality, regexp_matches(t || r, '[一-鿿぀-ゟ゠-ヿ]') AS q_cjk
-        FROM (SELECT doc_id, coalesce(text, '') AS t, right(coalesce(text, ''), 1000) AS r FROM documents)""",
+        FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce((SELECT n.text FROM documents n WHERE n.doc_id = d.doc_id + 1), '') AS r FROM documents d)""",
     "exact_dups": f"WITH {HASHED} SELECT doc_id, first_key, doc_id > first_key AS is_duplicate FROM marked",
     "quality_filter": r"""SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) ORDER BY doc_id) AS r
         FROM documents WHERE NOT regexp_matches(text, '[一-鿿぀-ゟ゠-ヿ]')) WHERE r = 1""",
@@ -196,7 +197,8 @@ ORACLES = {
         SELECT word, n, (SELECT count(*) FROM c) AS n_different FROM c ORDER BY n DESC, word LIMIT 10""",
     "cjk_report": """SELECT count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS changed_rows, CAST(3 * count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS fullwidth_ascii, CAST(2 * count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS explicit_punct,
         CAST(2 * count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS other_cjk_punct, CAST(3 * count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS ideograph, count(*) FILTER (doc_id % 3 = 0) AS multichar_leak FROM documents""",
-    "cjk_repaired": "SELECT doc_id, 'AB1,.hotel“ok”' || substr(text, 1, 20) AS repaired FROM documents",
+    "cjk_repaired": "SELECT doc_id, 'AB1,.hotel“ok”' || text AS repaired FROM documents",
+    "cjk_repaired_whole": "SELECT doc_id, 'AB1,.hotel“ok”' || text AS repaired FROM documents",
     "normal_forms": rf"""WITH m AS (SELECT doc_id, '  \frac{{A}} ' || chr(9) || chr(10) || ' \textbf x ' || text AS t FROM documents)
         SELECT doc_id, sha256({NORMAL.format('t')}) AS normal_hash, substr(sha256(trim(regexp_replace(lower(t), '\s+', ' ', 'g'))), 1, 16) AS dedup_hash, CAST(len(regexp_extract_all(t, '\S+')) AS BIGINT) AS n_words FROM m""",
 }

@@ -96,7 +96,7 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    prompt = T.fill("{{lang}}: {{head}} [{{none}}] {{snake}}", lang=F.col("lang"), head=F.left("text", F.lit(20)), none=F.lit(None).cast("string"), snake=T.snake_case(F.lit("believedThatItWas")))
+    prompt = T.fill("{{lang}}: {{head}} [{{none}}] {{snake}} {{body}}", body=F.col("text"), lang=F.col("lang"), head=F.left("text", F.lit(20)), none=F.lit(None).cast("string"), snake=T.snake_case(F.concat(F.col("lang"), F.lit("ThatItWas"), F.initcap("source"))))
     return d.select("doc_id", prompt.alias("prompt"), T.tail_chars(F.col("text"), 30).alias("tail"), F.array_join(T.tail_words(F.col("text"), 5), " ").alias("last_words"), T.first_of(F.lit(""), F.col("source"), default="none").alias("first"))
 
 
@@ -170,7 +170,7 @@ ORACLES = {
         UNION ALL SELECT 'union', count(*) FILTER (a OR b) FROM d UNION ALL SELECT 'intersection', count(*) FILTER (a AND b) FROM d UNION ALL SELECT 'difference', count(*) FILTER (a AND NOT b) FROM d""",
     "story_conditions": "SELECT * FROM (SELECT o_custkey AS k, round(max(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS tb, round(max(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS fb FROM orders GROUP BY 1) WHERE tb IS NOT NULL AND fb IS NOT NULL",
     "json_properties": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
-    "prompt_fill": r"""SELECT doc_id, lang || ': ' || left(text, 20) || ' [] believed_that_it_was' AS prompt, right(text, 30) AS tail,
+    "prompt_fill": r"""SELECT doc_id, lang || ': ' || left(text, 20) || ' [] ' || lang || '_that_it_was_' || source || ' ' || text AS prompt, right(text, 30) AS tail,
         array_to_string(list_slice(regexp_extract_all(text, '\S+'), -5, -1), ' ') AS last_words, source AS first FROM documents""",
     "column_checksums": "SELECT page_id, sha256(html) AS sha256, md5(html) AS md5, strlen(html) AS bytes FROM pages",
     "stale_leases": """SELECT user_id AS item, arg_max(event_type, (ts, event_type)) AS node, date_diff('microsecond', max(ts), TIMESTAMP '2024-01-30 12:00:00') // 60000000 >= 1440 AS stale FROM events GROUP BY user_id""",

@@ -162,7 +162,7 @@ def grader_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rounded(docs.select("doc_id", graders.last_number(F.col("text"), graders.PLAIN_NUMBER).alias("number")).where("number is not null and abs(number) < 1e15"))
+    return docs.select("doc_id", graders.last_number(F.col("text"), graders.PLAIN_NUMBER).alias("number")).where("number is not null")
 
 
 def verdict_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def verdict_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(*[F.lit(x) for x in ("True", "deceptive", " yes", "NO", "maybe", "Yes/No", "find relation", "")]), digit(F.col("doc_id")) % 8 + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", choice.truth_label(raw).alias("label"), choice.question_type(raw).alias("kind"), choice.numeric_order(F.col("source")).alias("place"))
+    return table(spark, sf_dir, "documents").select("doc_id", choice.truth_label(raw).alias("label"), choice.question_type(raw).alias("kind"), choice.numeric_order(F.when(F.col("doc_id") % 2 == 0, F.substring("source", 4, 9)).otherwise(F.col("source"))).alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (judge_majority, judge_null_strict, judge_unanimous, judge_evidence, judge_dissent, consensus_stats, verdict_log, rejection_top, calibration_delta, contrastive_accuracy, ca_by_cell, ca_pivot, ca_unpivot, bias_corrected, profile_average, tier_means, quadrants, primitive_counts, deficits, argmax_choice, argmax_gold_ties, grouped_accuracy, micro_average, reduced_scores, perplexity_windows, both_conditions, task_limits, grader_results, last_numbers, verdict_parses, label_cases)}
@@ -237,10 +237,10 @@ ORACLES = {
     "both_conditions": """SELECT * FROM (SELECT conv_id, max(length(text)) FILTER (role = 'user') AS user, max(length(text)) FILTER (role = 'assistant') AS assistant, max(length(text)) FILTER (role = 'system') AS system
         FROM conversations GROUP BY conv_id) WHERE "user" IS NOT NULL AND assistant IS NOT NULL AND system IS NOT NULL""",
     "task_limits": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5",
-    "last_numbers": r"SELECT * FROM (SELECT doc_id, round(try_cast(list_extract(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), -1) AS DOUBLE), 6) AS number FROM documents) WHERE number IS NOT NULL AND abs(number) < 1e15",
+    "last_numbers": r"SELECT * FROM (SELECT doc_id, try_cast(list_extract(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), -1) AS DOUBLE) AS number FROM documents) WHERE number IS NOT NULL",
     "verdict_parses": """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 6 THEN true END AS v1,
         CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 4 THEN true END AS v2 FROM documents""",
-    "label_cases": """WITH d AS (SELECT doc_id, CAST(('0x' || substr(md5('0|' || doc_id), 1, 1)) AS INTEGER) % 8 AS k FROM documents)
+    "label_cases": """WITH d AS (SELECT doc_id, source, CAST(('0x' || substr(md5('0|' || doc_id), 1, 1)) AS INTEGER) % 8 AS k FROM documents)
         SELECT doc_id, CASE WHEN k IN (0, 2) THEN 'truthful' WHEN k IN (1, 3) THEN 'deceptive' END AS label,
-               CASE k WHEN 0 THEN 'TRUE' WHEN 1 THEN 'DECEPTIVE' WHEN 2 THEN 'YES' WHEN 3 THEN 'NO' WHEN 4 THEN 'MAYBE' WHEN 5 THEN 'YN' WHEN 6 THEN 'FR' ELSE 'unknown' END AS kind, 99 AS place FROM d""",
+               CASE k WHEN 0 THEN 'TRUE' WHEN 1 THEN 'DECEPTIVE' WHEN 2 THEN 'YES' WHEN 3 THEN 'NO' WHEN 4 THEN 'MAYBE' WHEN 5 THEN 'YN' WHEN 6 THEN 'FR' ELSE 'unknown' END AS kind, CASE WHEN doc_id % 2 = 0 THEN CAST(substr(source, 4) AS INTEGER) ELSE 99 END AS place FROM d""",
 }

@@ -25,7 +25,9 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if "_corrupt_record" not in schema.names:
         schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
+    # read as text and parsed by an expression: the JSON reader refuses queries that need the malformed mark alone, such as counts
+    parsed = F.from_json("value", schema, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(paths).where(F.trim(F.translate("value", "\t\r", "  ")) != "").select(parsed.alias("r")).select("r.*")
     if malformed == "keep":
         return rows
     return (rows if malformed == "raise" else rows.where(F.col("_corrupt_record").isNull())).drop("_corrupt_record")
