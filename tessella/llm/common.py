@@ -66,18 +66,6 @@ def attached(rows: DataFrame, small: DataFrame, on: list[str], salt: str | None
     return found.select(*rows.columns, *rest)
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, n: str, heavy: int = 1024) -> DataFrame:
-    """``rows`` with the columns of their ``key`` in ``table``, which has one row for each key and in ``n`` how many rows share it.
-
-    A key of at least 1 / ``heavy`` of all rows is joined by a broadcast of at
-    most ``heavy`` rows; the rest, without hot keys, by a shuffle.
-    """
-    least = max(2, -(-(table.agg(F.sum(n)).first()[0] or 0) // heavy))
-    often, rest = table.where(F.col(n) >= least).drop(n), table.where(F.col(n) < least).drop(n)
-    few = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key)
-    return rows.join(F.broadcast(often), key).unionByName(few)
-
-
 def byte_values(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column without decoding it; None for null."""
     for value in column.cast(pa.large_binary()):

@@ -41,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, joined
+from ..joins import joined
+from .common import byte_values, cut
 from .components import components
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("fp", F.struct("component_id").alias("c"))
     ids = distinct.join(of_linked, "fp", "left").select("fp", F.when(F.col("c").isNotNull(), F.col("c.component_id")).otherwise(F.col("first")).alias("component_id"), "n")
-    return joined(marked, cut(ids), "fp", "n").select("doc_id", "fp", "component_id")
+    return joined(marked, cut(ids), "fp", "n", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def part_masks(radius: int, parts: int = PARTS) -> list[int]:
@@ -266,7 +267,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     grouped = cut(grouped.select("digest", "root", "first", "rows"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = cut(grouped.join(smallest, "root").select("digest", "component_id", "rows"))
-    return joined(marked, ids, "digest", "rows").select("doc_id", "fp", "component_id")
+    return joined(marked, ids, "digest", "rows", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
