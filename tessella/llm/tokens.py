@@ -28,7 +28,7 @@ ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯ  -‏ -  　﻿]")
 #: Such a character right before or after a blank or newline: the text is not cut.
 UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0  -‏ -  　﻿][ \n]|[ \n][̀-ͯ]")
 #: Parts of at most so many characters are kept, so many at most; then the store starts anew.
-KEPT_CHARS, KEPT_PARTS = 48, 400_000
+KEPT_CHARS, KEPT_PARTS = 48, 1_600_000
 #: Words on which the direct way through the tokenizer's model must agree with the tokenizer.
 PROBES = ("the", "The", "straße", "ÉTÉ", "Xylophonist", "aeiouaeiou", "zzzqqq", "ÿ", "I", "señoras")
 
