@@ -24,6 +24,11 @@ Jaccard similarity of the whole shingle sets.  A first pass gives every set only
 orders, which joins most of a large group without its pairs; a second pass over the sets with neighbours gives every
 near pair whose ends are in different components so far, so none is left out;
 sets that have too few shingles in common with other components stay out of it.
+Before sets are fetched, a pair of the second pass is held against the parities
+of both: a bit tells whether an odd number of a set's hashes fall into its
+class, each hash that only one of two sets has turns one bit, so the bits that
+differ are never more than the hashes that do, and a pair with too many of them
+is certainly under the similarity.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which is
 linked like any other; repeated rows get equal values; the component id is the
@@ -50,6 +55,8 @@ BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 PARTS, ORDERS, SECOND_RADIUS = 3, 3, 20
 #: How often sets that share too few shingles are taken out before the second pass.
 PRUNED = 2
+#: 64-bit words of a set's parities.
+PARITY = 16
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 POINT = "digest long, fp long, fp2 long, n int"
 
@@ -174,17 +181,36 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "digest long, hashes array<long>").dropDuplicates(["digest"])
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(digest, parity) of (digest, hashes): bit c of ``parity`` is set if an odd number of the hashes are of class c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, PARITY), dtype="<i8")
+            for k, hashes in enumerate(batch.column(1)):
+                h = hashes.values.to_numpy().view(np.uint64) * np.uint64(ODD[1]) >> np.uint64(32)
+                odd = np.bincount((h % np.uint64(64 * PARITY)).view(np.int64), minlength=64 * PARITY) & 1
+                out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * PARITY
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1)))], ["digest", "parity"])
+
+    return sets.select("digest", "hashes").mapInArrow(run, "digest long, parity array<long>")
+
+
 def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -> DataFrame:
-    """(a, b) of different points (POINT, and ``root``) whose fingerprints are within ``radius`` and whose sizes allow ``similarity``: every pair of two roots, or each point's nearest and least neighbours only."""
+    """(a, b) of different points (POINT, and ``root``) whose fingerprints are within ``radius`` and whose sizes allow ``similarity``: every pair of two roots whose parities (a further column) allow it too, or each point's nearest and least neighbours only."""
     kept = part_masks(radius)
     table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(signed(m)).alias("mask")) for v, m in enumerate(kept)])
-    keyed = points.select("digest", "fp", "fp2", "n", "most", "root", F.explode(table).alias("t"))
-    keyed = keyed.select(F.xxhash64("t.v", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), "digest", "fp", "fp2", "n", "most", "root")
+    columns = ["digest", "fp", "fp2", "n", "most", "root", *(["parity"] if every else [])]
+    keyed = points.select(*columns, F.explode(table).alias("t"))
+    keyed = keyed.select(F.xxhash64("t.v", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), *columns)
+    width = 7 + (PARITY if every else 0)
 
     def near(rows: np.ndarray) -> Iterator[np.ndarray]:
-        digest, fp, fp2, n, most, root = rows
-        for start in range(0, len(digest), 256):
-            x = slice(start, start + 256)
+        digest, fp, fp2, n, most, root = rows[:6]
+        step = max(1, min(256, (1 << 21) // len(digest)))  # so many pairs are held at once
+        for start in range(0, len(digest), step):
+            x = slice(start, start + step)
             close = np.bitwise_count(fp[x, None].view(np.uint64) ^ fp.view(np.uint64)) <= radius
             close &= digest[x, None] != digest
             i, j = np.nonzero(close)
@@ -196,6 +222,12 @@ def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -
             if every:
                 fit &= (root[i] != root[j]) & (digest[i] < digest[j])
             i, j = i[fit], j[fit]
+            if every:
+                odd = np.zeros(len(i), dtype=np.int64)
+                for word in rows[6:]:
+                    odd += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
+                possible = (1 + similarity) * odd <= (1 - similarity) * (n[i] + n[j]) + 1e-6
+                i, j = i[possible], j[possible]
             if every and len(i):
                 yield np.stack([digest[i], digest[j], i, i])
             elif len(i):
@@ -209,10 +241,13 @@ def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -
                     yield np.stack([digest[i[o]], digest[j[o]], np.full(len(o), k), rank[o]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((7, 0), dtype=np.int64)
+        rest = np.zeros((width, 0), dtype=np.int64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+                more = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
+                if every:
+                    more += list(batch.column(7).flatten().to_numpy().reshape(-1, PARITY).T)
+                rest = np.concatenate([rest, np.stack(more)], axis=1)
             bounds = np.flatnonzero(np.diff(rest[0])) + 1
             starts = np.r_[0, bounds] if rest.shape[1] else bounds
             ends = np.r_[bounds, rest.shape[1]] if batch is None else bounds  # the last bucket may go on in the next batch
@@ -258,7 +293,8 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
         most = held.groupBy("digest").agg(F.count("*").alias("most"))
         apart = cut(apart.drop("most").join(most, "digest").where(F.col("most") >= F.lit(similarity) * F.col("n") - 1e-6))
         held = cut(held.join(apart.select("digest"), "digest", "left_semi"))
-    more = linked(cut(candidates(apart, radius, similarity, True)), sets)
+    parity = parities(sets.join(apart.select("digest"), "digest", "left_semi"))
+    more = linked(cut(candidates(apart.join(parity, "digest"), radius, similarity, True)), sets)
     to = lambda c: apart.select(F.col("digest").alias(c), F.col("root").alias(f"{c}_root"))
     between = more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     last = cut(components(between)).select(F.col("vertex").alias("root"), F.col("root").alias("last"))

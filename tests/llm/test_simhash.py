@@ -162,3 +162,40 @@ def test_part_masks_cover_the_radius():
     for _ in range(5000):
         x = sum(1 << b for b in rng.sample(range(64), 14))
         assert any(not m & x for m in masks)
+
+
+def test_parities_never_rule_out_a_similar_pair(spark):
+    """Bits that differ between two parities are at most the hashes in which the sets differ, of the same oddness, and tell sets apart that are well under the similarity."""
+    rng = np.random.default_rng(3)
+    sets = {1: [], 2: [5], 3: rng.integers(-(2**63), 2**63 - 1, 40_000).tolist()}
+    base = rng.integers(-(2**63), 2**63 - 1, 200).tolist()
+    for k in range(10, 60):
+        sets[k] = base[: 200 - k] + rng.integers(-(2**63), 2**63 - 1, k).tolist()
+    df = spark.createDataFrame(list(sets.items()), "digest long, hashes array<long>")
+    got = {r["digest"]: sum((w & (2**64 - 1)) << 64 * k for k, w in enumerate(r["parity"])) for r in simhash.parities(df).collect()}
+    assert set(got) == set(sets)
+    for a, b in combinations(sets, 2):
+        bits, apart = (got[a] ^ got[b]).bit_count(), len(set(sets[a]) ^ set(sets[b]))
+        assert bits <= apart and (apart - bits) % 2 == 0
+    assert 1.8 * (got[10] ^ got[59]).bit_count() > 0.2 * 400  # 118 of 400 differ, 44 may
+
+
+def test_second_pass_links_across_large_groups(spark, monkeypatch):
+    """With one neighbour a point in the first pass, the second finds the rest; brute force over all pairs."""
+    monkeypatch.setattr(simhash, "ORDERS", 1)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    hub = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        copy = list(hub)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    root = {i: i for i, _ in rows}
+    for (a, x), (b, y) in combinations(rows, 2):
+        if jaccard(x, y) >= 0.8 and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {k: new if v == old else v for k, v in root.items()}
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == root
