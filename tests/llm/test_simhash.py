@@ -180,9 +180,11 @@ def test_parities_never_rule_out_a_similar_pair(spark):
     assert 1.8 * (got[10] ^ got[59]).bit_count() > 0.2 * 400  # 118 of 400 differ, 44 may
 
 
-def test_second_pass_links_across_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("by_size", [2, 512])  # buckets in order of size, and not
+def test_second_pass_links_across_large_groups(spark, monkeypatch, by_size):
     """With one neighbour a point in the first pass, the second finds the rest; brute force over all pairs."""
     monkeypatch.setattr(simhash, "ORDERS", 1)
+    monkeypatch.setattr(simhash, "BY_SIZE", by_size)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(900)]
     hub = [rng.choice(words) for _ in range(120)]
@@ -191,7 +193,7 @@ def test_second_pass_links_across_large_groups(spark, monkeypatch):
         copy = list(hub)
         for _ in range(rng.randrange(4)):
             copy[rng.randrange(len(copy))] = rng.choice(words)
-        rows.append((i, " ".join(copy)))
+        rows.append((i, " ".join(copy[: rng.choice([30, 100, 120])])))
     root = {i: i for i, _ in rows}
     for (a, x), (b, y) in combinations(rows, 2):
         if jaccard(x, y) >= 0.8 and root[a] != root[b]:
