@@ -1,227 +1,307 @@
-"""Adaptive context-mixing range coder for sequences of ids, many blocks in step.
-
-A segment holds up to ``LANES`` blocks of ``BLOCK`` ids.  Every block starts
-anew and is coded by itself; the blocks of a segment are worked on side by
-side, one id of each at a time, so each operation is one on arrays.
-
-Three predictions drive the arithmetic coding of an id.  Order 2 and order 1
-name the id that followed this context last, and have a confidence: how often
-in a row they were right.  Order 0 is the distribution of ids in the segment,
-stored in its head.  The three are mixed into one distribution with weights
-that adapt per block, kept for every pair of confidences: so much of the range
-for the order-2 id, so much of the rest for the order-1 id, what is left is
-divided by order 0.  A range coder of 48 bits, with carries, writes 16-bit words.
+"""Adaptive context-mixing range coder for sequences of ids, in independent blocks.
+
+A block holds up to ``LANES * BLOCK`` ids, starts anew and can be decoded alone.
+Its ids are laid out in lanes that are worked on side by side, one id of each
+at a time, so each operation is one on arrays; all lanes learn into, and
+predict from, the same models.
+
+Three predictions drive the arithmetic coding of an id, each a distribution
+counted from the ids of the block so far: order 0 over all ids, order 1 over
+those that followed the id before, order 2 over those that followed the two
+ids before (their contexts are hashed).  The counts are brought up to date each
+time ``GROWTH`` times as many ids are coded.  Weights, which adapt with every
+step for each pair of how often the two contexts were seen, mix the three: they
+divide the range, and an id is coded in the part where it is widest.  A range coder of 60
+bits, with carries, writes 32-bit words.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK, LANES = 2048, 3072
-TABLE = 512  # contexts of an order in a block
-STATES = 32  # two confidences of 0 to 3, and whether the two ids are the same
-TOTAL, WORD = 16, 16
-MASK, LEAST = (1 << 48) - 1, 1 << 32
+#: Ids of a lane, and lanes of a block; a block that would fill at most ``FEW`` lanes of ``SHORT`` ids has these.
+BLOCK, LANES, SHORT, FEW = 1024, 2048, 4096, 64
+CONTEXTS = 20  # bits of a hashed order-2 context
+MIX, ORDER0 = 12, 20  # bits of the weights, and of the widths of order 0
+LEAST_WEIGHT = 256
+FULL, WORD = 60, 32
+MASK, LEAST = (1 << FULL) - 1, 1 << (FULL - WORD)
 MOST_SYMBOLS = 60_000
+GROWTH = 4  # counts are brought up to date when so many times the ids are coded
+BATCH = 16  # steps whose counts the encoder looks up at once
 HEAD = struct.Struct("<IIII")
+#: How often a context was seen, in 8 classes: never, once, 2 to 3, ..., 64 and more.
+CLASSES = np.minimum(np.ceil(np.log2(np.arange(1, 130))), 7).astype(np.int64)
+
+
+class Followers:
+    """How often each symbol followed each context."""
+
+    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, n_contexts: int):
+        pairs = (contexts.astype(np.int64) << 16 | symbols).reshape(-1)
+        pairs.sort()
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        self.pairs, self.first = pairs[first], first.astype(np.int32)
+        self.symbol = (self.pairs & 0xFFFF).astype(np.int32)
+        self.count = np.diff(first, append=len(pairs)).astype(np.int32)
+        self.pair_at = np.repeat(np.arange(len(first), dtype=np.int32), self.count)
+        self.start = np.zeros(n_contexts + 1, dtype=np.int32)
+        np.cumsum(np.bincount(contexts.reshape(-1), minlength=n_contexts), out=self.start[1:])
+
+    def seen(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each context starts, and how often it was seen."""
+        start = self.start.take(contexts)
+        return start, self.start.take(contexts + 1) - start
+
+    def index(self) -> None:
+        """Prepare ``find``: of pairs that share a slot the last is found, the others are coded as not seen."""
+        self.bits = min(22, max(8, len(self.pairs).bit_length() + 3))
+        self.slots = np.zeros(1 << self.bits, dtype=np.int32)
+        self.slots[self.slot(self.pairs)] = np.arange(len(self.pairs), dtype=np.int32)
+
+    def slot(self, pairs: np.ndarray) -> np.ndarray:
+        mixed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed >>= np.uint64(64 - self.bits)
+        return mixed.view(np.int64)
+
+    def find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each symbol in its context: where its share starts, how large it is (0: not seen), out of how many."""
+        start, n = self.seen(contexts)
+        if not len(self.pairs):
+            return np.zeros_like(n), np.zeros_like(n), n
+        pairs = contexts.astype(np.int64) << 16 | symbols
+        at = self.slots.take(self.slot(pairs))
+        return self.first.take(at) - start, self.count.take(at) * (self.pairs.take(at) == pairs), n
+
+
+class Models:
+    """The three predictions after the steps ``columns`` (steps x lanes)."""
+
+    def __init__(self, columns: np.ndarray, first: np.ndarray, second: np.ndarray, symbols: int):
+        counts = np.bincount(columns.reshape(-1), minlength=symbols)
+        self.width = 1 + counts * ((1 << ORDER0) - symbols) // max(1, counts.sum())
+        self.width[np.argmax(self.width)] += (1 << ORDER0) - self.width.sum()
+        self.low = np.cumsum(self.width) - self.width
+        self.order1 = Followers(first, columns, symbols)
+        self.order2 = Followers(second, columns, 1 << CONTEXTS)
+
 
+class Weights:
+    """The range's division between orders 0, 1 and 2, for each pair of classes."""
 
-class Mixer:
-    """The models of all lanes; ``predict`` then ``update`` for every id."""
-
-    def __init__(self, lanes: int):
-        self.at_table = np.arange(lanes, dtype=np.int64) * TABLE
-        self.at_state = np.arange(lanes, dtype=np.int64) * STATES
-        self.first = np.zeros(lanes * TABLE, dtype=np.int32)  # order 1: id + confidence * 2^16
-        self.second = np.zeros(lanes * TABLE, dtype=np.int32)
-        start = np.zeros((STATES, 2), dtype=np.int32)
-        for s in range(STATES):
-            start[s] = (2000 + 14000 * (s >> 2 & 3), 0 if s & 16 else 2000 + 8000 * (s & 3))
-        self.weight2 = np.tile(start[:, 0], lanes)
-        self.weight1 = np.tile(start[:, 1], lanes)
-        self.hash1 = np.zeros(lanes, dtype=np.int64)
-        self.hash2 = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The ids of orders 2 and 1, and the widths given to them out of 2^16."""
-        self.slot1 = self.at_table + (self.hash1 >> 8 & (TABLE - 1))
-        self.slot2 = self.at_table + ((self.hash1 + self.hash2 * 3) >> 7 & (TABLE - 1))
-        v1, v2 = self.first.take(self.slot1), self.second.take(self.slot2)
-        p1, p2 = v1 & 0xFFFF, v2 & 0xFFFF
-        self.sure1, self.sure2 = v1 >> 16, v2 >> 16
-        self.state = self.at_state + ((self.sure2 << 2) + self.sure1 + ((p1 == p2).view(np.int8) << 4))
-        self.w2, self.w1 = self.weight2.take(self.state), self.weight1.take(self.state)
-        width2 = (self.w2 * 7 >> 3) + 1
-        width1 = ((61440 - width2 >> 4) * (self.w1 >> 4) >> 8) + 1
-        return p2, p1, width2, width1
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, is1: np.ndarray) -> None:
-        """``hit2`` and ``hit1``: coded as the id of that order (0 or 1); ``is1``: equal to the id of order 1."""
-        self.weight2[self.state] = self.w2 + ((hit2 * 65535) - self.w2 >> 4)
-        self.weight1[self.state] = self.w1 + ((hit1 * 65535) - self.w1 >> 4) * (1 - hit2)
-        self.first[self.slot1] = ids + ((self.sure1 + 1 - (self.sure1 == 3)) * is1 << 16)
-        self.second[self.slot2] = ids + ((self.sure2 + 1 - (self.sure2 == 3)) * hit2 << 16)
-        self.hash2, self.hash1 = self.hash1, ids * np.int64(40503)
-
-
-def order0(counts: np.ndarray) -> np.ndarray:
-    """Widths out of 2^16 in proportion to ``counts``, at least 1 each."""
-    spare = (1 << TOTAL) - len(counts)
-    width = 1 + counts * spare // counts.sum()
-    width[np.argmax(width)] += (1 << TOTAL) - width.sum()
-    return width
-
-
-def with_none(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and widths of the symbols and, last, of none: the whole range."""
-    return np.append(np.cumsum(width) - width, 0), np.append(width, 1 << TOTAL)
-
-
-def encode_lanes(symbols: np.ndarray, width: np.ndarray) -> list[bytes]:
-    """``symbols``: lanes x ids. The words of every lane."""
-    lanes, n = symbols.shape
-    none = len(width)
-    start, width = with_none(width)
-    mixer = Mixer(lanes)
+    def __init__(self):
+        self.tally = np.full((64, 3), 2, dtype=np.int64)
+        self.possible = np.ones((64, 3), dtype=np.int64)
+        self.possible[:8, 2] = self.possible[::8, 1] = 0  # contexts never seen
+        self.refresh()
+
+    def refresh(self) -> None:
+        part = self.tally * self.possible
+        part = (LEAST_WEIGHT + part * ((1 << MIX) - 3 * LEAST_WEIGHT) // part.sum(axis=1, keepdims=True)) * self.possible
+        self.width2, self.width1 = part[:, 2].copy(), part[:, 1].copy()
+
+    def learn(self, state: np.ndarray, order: np.ndarray, step: int) -> None:
+        self.tally += np.bincount(state * 3 + order, minlength=192).reshape(64, 3)
+        if step < 64 or step % 8 == 0:
+            self.refresh()
+
+
+def hashed(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The order-2 context of the two symbols ``before``, ``last``."""
+    mixed = last.view(np.uint32) * np.uint32(0x9E3779B1)
+    mixed += before.view(np.uint32) * np.uint32(0x85EBCA6B)
+    mixed >>= np.uint32(32 - CONTEXTS)
+    return mixed.view(np.int32)
+
+
+def contexts(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order-1 and order-2 contexts of every symbol; what comes before a lane counts as symbol 0."""
+    first = np.zeros_like(columns)
+    first[1:] = columns[:-1]
+    before = np.zeros_like(columns)
+    before[2:] = columns[:-2]
+    return first, hashed(before, first)
+
+
+def epochs(steps: int) -> Iterator[tuple[int, int]]:
+    """The steps between two counts: 0, 1 to 3, 4 to 15, .."""
+    start = 0
+    while start < steps:
+        end = min(steps, max(1, GROWTH * start))
+        yield start, end
+        start = end
+
+
+def encode_lanes(symbols: np.ndarray, n_symbols: int) -> list[bytes]:
+    """``symbols``: lanes x steps. The words of every lane."""
+    lanes, steps = symbols.shape
+    columns = np.ascontiguousarray(symbols.T, dtype=np.int32)
+    first, second = contexts(columns)
+    weights = Weights()
     low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, MASK, dtype=np.int64)
-    out = np.empty((lanes, 2 * n + 8), dtype="<u2")
+    out = np.zeros((lanes, steps + 2), dtype="<u4")  # an id takes a word at most
     flat, row = out.reshape(-1), np.arange(lanes, dtype=np.int64) * out.shape[1]
-    to = row.copy()
-    columns = np.ascontiguousarray(symbols.T.astype(np.int32))
-    for k in range(n):
-        ids = columns[k]
-        p2, p1, width2, width1 = mixer.predict()
-        hit2, is1 = (ids == p2).view(np.int8), (ids == p1).view(np.int8)
-        hit1 = is1 & ~hit2
-        one2, one1 = hit2.astype(np.int32), hit1.astype(np.int32)
-        escape = 1 - one2 - one1
-        both = width2 + width1
-        unit = span >> TOTAL
-        low += unit * (width2 * one1 + both * escape)
-        unit *= width2 * one2 + width1 * one1 + ((1 << TOTAL) - both) * escape
-        unit >>= TOTAL
-        symbol = np.where(escape, ids, none)
-        low += unit * start.take(symbol)
-        span = unit * width.take(symbol)
-        carry = low >> 48
-        if carry.any():
-            at = to[carry > 0] - 1
+    to, lane = row.copy(), np.arange(lanes)
+    begin, width = np.zeros((3, lanes), dtype=np.int64), np.zeros((3, lanes), dtype=np.int64)
+
+    def carry() -> None:
+        over = low >> FULL
+        if over.any():
+            at = to[over > 0] - 1
             while len(at):
                 flat[at] += 1
                 at = at[flat[at] == 0] - 1
-            low &= MASK
-        go = span < LEAST
-        flat[to] = low >> 32
-        to += go
-        shift = go * np.int64(WORD)
-        low <<= shift
-        low &= MASK
-        span <<= shift
-        again = np.flatnonzero(span < LEAST)
-        while len(again):  # few lanes give a second word
-            flat[to[again]] = low[again] >> 32
-            to[again] += 1
-            low[again] = low[again] << WORD & MASK
-            span[again] <<= WORD
-            again = again[span[again] < LEAST]
-        mixer.update(ids, one2, one1, is1.astype(np.int32))
-    for _ in range(3):
-        flat[to] = low >> 32
-        to += 1
-        low = (low << WORD) & MASK
+            np.bitwise_and(low, MASK, out=low)
+
+    for start, end in epochs(steps):
+        models = Models(columns[:start], first[:start], second[:start], n_symbols)
+        models.order1.index()
+        models.order2.index()
+        for a in range(start, end, BATCH):
+            part = slice(a, min(a + BATCH, end))
+            ids = columns[part]
+            low1, count1, n1 = models.order1.find(first[part], ids)
+            low2, count2, n2 = models.order2.find(second[part], ids)
+            states = CLASSES.take(np.minimum(n2, 128)) * 8 + CLASSES.take(np.minimum(n1, 128))
+            lows = np.stack([models.low.take(ids), low1, low2], axis=1)
+            counts = np.stack([models.width.take(ids), count1, count2], axis=1)
+            totals = np.stack([np.full_like(n1, 1 << ORDER0), np.maximum(n1, 1), np.maximum(n2, 1)], axis=1)
+            shares = (counts / totals).astype(np.float32)
+            for k in range(len(ids)):
+                state, share = states[k], shares[k]
+                width[2], width[1] = weights.width2.take(state), weights.width1.take(state)
+                begin[1] = width[2]
+                np.add(width[2], width[1], out=begin[0])
+                np.subtract(1 << MIX, begin[0], out=width[0])
+                gain = share * width
+                order = np.where(gain[2] >= gain[1], 2, 1)
+                order *= np.maximum(gain[1], gain[2]) >= gain[0]
+                at = order * lanes + lane
+                unit = span >> MIX
+                low += unit * begin.take(at)
+                unit *= width.take(at)
+                unit //= totals[k].take(at)
+                low += unit * lows[k].take(at)
+                span = unit * counts[k].take(at)
+                carry()
+                go = np.flatnonzero(span < LEAST)
+                if len(go):
+                    held, place = low[go], to[go]
+                    flat[place] = held >> (FULL - WORD)
+                    to[go] = place + 1
+                    low[go] = held << WORD & MASK
+                    span[go] <<= WORD
+                weights.learn(state, order, a + k)
+    low += LEAST - 1  # the next multiple of ``LEAST``, which is still in the range; what follows counts as zeros
+    carry()
+    flat[to] = low >> (FULL - WORD)
+    to += 1
     return [out[i, : to[i] - row[i]].tobytes() for i in range(lanes)]
 
 
-def decode_lanes(words: list[bytes], n: int, width: np.ndarray) -> np.ndarray:
-    """The symbols, lanes x ids, of what ``encode_lanes`` wrote."""
-    lanes, none = len(words), len(width)
-    symbol_at = np.append(np.repeat(np.arange(none, dtype=np.int32), width), np.int32(none))
-    start, width = with_none(width)
-    mixer = Mixer(lanes)
-    flat = np.frombuffer(b"".join(words) + bytes(16), dtype="<u2")
-    sizes = np.array([len(w) // 2 for w in words], dtype=np.int64)
-    next_ = np.cumsum(sizes) - sizes
-    span, code = np.full(lanes, MASK, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    for _ in range(3):
-        code = (code << WORD) | flat.take(next_)
-        next_ += 1
-    out = np.empty((n, lanes), dtype=np.int32)
-    top = (1 << TOTAL) - 1
-    for k in range(n):
-        p2, p1, width2, width1 = mixer.predict()
-        both = width2 + width1
-        unit = span >> TOTAL
-        place = code // unit
-        one2 = (place < width2).astype(np.int32)
-        escape = (place >= both).astype(np.int32)
-        one1 = 1 - one2 - escape
-        code -= unit * (width2 * one1 + both * escape)
-        unit *= width2 * one2 + width1 * one1 + ((1 << TOTAL) - both) * escape
-        unit >>= TOTAL
-        symbol = symbol_at.take(np.where(escape, np.minimum(code // unit, top), top + 1))
-        code -= unit * start.take(symbol)
-        span = unit * width.take(symbol)
-        ids = np.where(escape, symbol, np.where(one2, p2, p1))
-        go = span < LEAST
-        shift = go * np.int64(WORD)
-        code <<= shift
-        code |= flat.take(next_) * go
-        next_ += go
-        span <<= shift
-        again = np.flatnonzero(span < LEAST)
-        while len(again):  # few lanes take a second word
-            code[again] = code[again] << WORD | flat.take(next_[again])
-            next_[again] += 1
-            span[again] <<= WORD
-            again = again[span[again] < LEAST]
-        np.minimum(next_, len(flat) - 1, out=next_)
-        mixer.update(ids, one2, one1, (ids == p1).astype(np.int32))
-        out[k] = ids
-    return out.T
+def decode_lanes(words: list[bytes], steps: int, n_symbols: int) -> np.ndarray:
+    """The symbols, lanes x steps, of what ``encode_lanes`` wrote."""
+    lanes = len(words)
+    sizes = np.array([len(w) // 4 for w in words], dtype=np.int64)
+    flat = np.zeros(int(sizes.sum()) + 2 * lanes, dtype=np.int64)  # two words of zeros after each lane
+    next_ = np.cumsum(sizes + 2) - sizes - 2
+    flat[np.arange(sizes.sum()) + np.repeat(2 * np.arange(lanes), sizes)] = np.frombuffer(b"".join(words), dtype="<u4")
+    last = np.append(next_[1:], len(flat)) - 1
+    code = flat.take(next_) << (FULL - WORD) | flat.take(next_ + 1) >> (2 * WORD - FULL)
+    rest = flat.take(next_ + 1)  # its last bits belong to the next word that is taken
+    next_ += 2
+    weights = Weights()
+    span = np.full(lanes, MASK, dtype=np.int64)
+    columns = np.zeros((steps, lanes), dtype=np.int32)
+    second = np.zeros((steps, lanes), dtype=np.int32)
+    first = np.zeros((steps, lanes), dtype=np.int32)
+    lane, spare = np.arange(lanes), 2 * WORD - FULL
+    begin, width, totals = (np.zeros((3, lanes), dtype=np.int64) for _ in range(3))
+    totals[0] = 1 << ORDER0
+    low, count = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    for start, end in epochs(steps):
+        models = Models(columns[:start], first[:start], second[:start], n_symbols)
+        symbol_at = np.repeat(np.arange(n_symbols, dtype=np.int32), models.width)
+        for k in range(start, end):
+            if k:
+                first[k] = columns[k - 1]
+                second[k] = hashed(columns[k - 2] if k > 1 else columns[k], columns[k - 1])
+            start1, n1 = models.order1.seen(first[k])
+            start2, n2 = models.order2.seen(second[k])
+            state = CLASSES.take(np.minimum(n2, 128)) * 8 + CLASSES.take(np.minimum(n1, 128))
+            width[2], width[1] = weights.width2.take(state), weights.width1.take(state)
+            begin[1] = width[2]
+            np.add(width[2], width[1], out=begin[0])
+            np.subtract(1 << MIX, begin[0], out=width[0])
+            np.maximum(n1, 1, out=totals[1])
+            np.maximum(n2, 1, out=totals[2])
+            unit = span >> MIX
+            place = code // unit
+            order = (place < begin[0]).astype(np.int64) + (place < begin[1])
+            at = order * lanes + lane
+            code -= unit * begin.take(at)
+            unit *= width.take(at)
+            total = totals.take(at)
+            unit //= total
+            v = np.minimum(code // unit, total - 1)
+            ids = columns[k]
+            here = np.flatnonzero(order == 0)
+            symbol = symbol_at.take(v[here])
+            ids[here], low[here], count[here] = symbol, models.low.take(symbol), models.width.take(symbol)
+            for number, model, starts in ((1, models.order1, start1), (2, models.order2, start2)):
+                here = np.flatnonzero(order == number)
+                if len(here):
+                    begins = starts[here]
+                    pair = model.pair_at.take(v[here] + begins)
+                    ids[here], low[here], count[here] = model.symbol.take(pair), model.first.take(pair) - begins, model.count.take(pair)
+            code -= unit * low
+            span = unit * count
+            go = np.flatnonzero(span < LEAST)
+            if len(go):
+                more = flat.take(np.minimum(next_[go], last[go]))
+                code[go] = code[go] << WORD | (rest[go] & ((1 << spare) - 1)) << (WORD - spare) | more >> spare
+                rest[go] = more
+                next_[go] += 1
+                span[go] <<= WORD
+            weights.learn(state, order, k)
+    return columns.T
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
-    """A segment of at most ``LANES * BLOCK`` ids (unsigned 32-bit) with at most ``MOST_SYMBOLS`` different ones."""
+    """A block of at most ``LANES * BLOCK`` ids (unsigned 32-bit) with at most ``MOST_SYMBOLS`` different ones."""
     counts = np.bincount(ids)
     alphabet = np.flatnonzero(counts)
-    width = order0(counts[alphabet])
-    symbol = np.zeros(len(counts), dtype=np.int64)
+    symbol = np.zeros(len(counts), dtype=np.int32)
     symbol[alphabet] = np.arange(len(alphabet))
-    blocks = -(-len(ids) // BLOCK)
-    size = BLOCK if blocks > 1 else len(ids)
-    padded = np.zeros(blocks * size, dtype=np.int64)
+    lanes = -(-len(ids) // (SHORT if len(ids) <= FEW * SHORT else BLOCK))
+    steps = -(-len(ids) // lanes)
+    padded = np.zeros(lanes * steps, dtype=np.int32)
     padded[: len(ids)] = symbol[ids]
-    words = encode_lanes(padded.reshape(blocks, size), width)
-    table = zlib.compress(np.concatenate([np.diff(alphabet, prepend=0), width]).astype("<u4").tobytes())
-    sums = [zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) for k in range(blocks)]
-    lengths = [len(w) for w in words]
-    return HEAD.pack(len(ids), blocks, len(alphabet), len(table)) + table + np.array([lengths, sums], dtype="<u4").tobytes() + b"".join(words)
+    words = encode_lanes(padded.reshape(lanes, steps), len(alphabet))
+    table = zlib.compress(np.concatenate([np.diff(alphabet, prepend=0), [len(w) for w in words]]).astype("<u4").tobytes())
+    return HEAD.pack(len(ids), len(alphabet), len(table), zlib.crc32(ids.astype("<u4").tobytes())) + table + b"".join(words)
 
 
 def decode_segment(data: bytes) -> np.ndarray:
-    """The ids; raises where a block's checksum is wrong."""
-    n, blocks, symbols, size = HEAD.unpack_from(data)
-    at = HEAD.size
-    table = np.frombuffer(zlib.decompress(data[at : at + size]), dtype="<u4").astype(np.int64)
-    alphabet, width = np.cumsum(table[:symbols]), table[symbols:]
-    at += size
-    lengths, sums = np.frombuffer(data, dtype="<u4", count=2 * blocks, offset=at).reshape(2, blocks).astype(np.int64)
-    at += 8 * blocks
+    """The ids; raises where the block's checksum is wrong."""
+    n, symbols, size, checksum = HEAD.unpack_from(data)
+    at = HEAD.size + size
+    table = np.frombuffer(zlib.decompress(data[HEAD.size : at]), dtype="<u4").astype(np.int64)
+    alphabet, lengths = np.cumsum(table[:symbols]), table[symbols:]
     ends = at + np.cumsum(lengths)
     words = [data[e - w : e] for e, w in zip(ends, lengths, strict=True)]
-    per_block = BLOCK if blocks > 1 else n
-    ids = alphabet[decode_lanes(words, per_block, width)].reshape(-1)[:n].astype("<u4")
-    for k in range(blocks):
-        if zlib.crc32(ids[k * per_block : (k + 1) * per_block].tobytes()) != sums[k]:
-            raise OSError(f"block {k} of a segment has a wrong checksum")
+    ids = alphabet[decode_lanes(words, -(-n // len(words)), symbols)].reshape(-1)[:n].astype("<u4")
+    if zlib.crc32(ids.tobytes()) != checksum:
+        raise OSError("a block has a wrong checksum")
     return ids
 
 
 def segment_length(ids: np.ndarray) -> int:
-    """How many of ``ids`` the next segment takes: all that fit with not too many different ones."""
+    """How many of ``ids`` the next block takes: all that fit with not too many different ones."""
     n = min(len(ids), LANES * BLOCK)
     while np.count_nonzero(np.bincount(ids[:n])) > MOST_SYMBOLS:
         n = max(1, n // 2)

@@ -2,8 +2,8 @@
 
 Documents are dealt to shards by their id and sorted; a shard is one file.  It
 is a sequence of sections, each with its kind, length and checksum: segments of
-ids (see ``range_coder``; every block in one is reset and has a checksum of its
-own) and, after each segment, the documents that ended in it with their ids and
+ids (blocks of ``range_coder``, each reset, decodable alone and with a checksum
+of its ids) and, after each segment, the documents that ended in it with their ids and
 lengths.  Tasks hold one segment at a time, however large the shard.
 
 A document's start, the number of ids before it, is its place in the file plus

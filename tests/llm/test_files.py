@@ -99,6 +99,26 @@ def test_range_coder_learns():
     assert len(range_coder.encode_segment(ids)) < len(range_coder.encode_segment(np.random.default_rng(0).permutation(ids)))
 
 
+def test_range_coder_predicts_from_contexts():
+    """Ids drawn evenly, each followed by one of four: order 0 needs 8 bits an id, the contexts 2."""
+    rng, ids = np.random.default_rng(3), np.zeros(200_000, dtype="<u4")
+    following = rng.permutation(256).repeat(4).reshape(256, 4)[:, rng.permutation(4)] + np.arange(4) * 64
+    picks = rng.integers(0, 4, len(ids))
+    for k in range(1, len(ids)):
+        ids[k] = following[ids[k - 1], picks[k]] % 256
+    p = np.bincount(ids) / len(ids)
+    order0 = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    assert 8 * len(range_coder.encode_segment(ids)) / len(ids) < 0.5 * order0
+
+
+def test_range_coder_blocks_stand_alone():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.geometric(0.01, 5000), 900).astype("<u4")
+    alone = range_coder.encode_segment(ids[2500:])
+    range_coder.encode_segment(ids[:2500])  # leaves nothing behind
+    assert range_coder.encode_segment(ids[2500:]) == alone and (range_coder.decode_segment(alone) == ids[2500:]).all()
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(sharded_files, "LEAST_SHARDS", 3)
     monkeypatch.setattr(range_coder, "LANES", 2)
