@@ -35,3 +35,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tessella-scratch-")
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows`` for work that is costly for each row: dealt to all cores where there are fewer partitions than cores, as with a small file of one row group; larger inputs stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

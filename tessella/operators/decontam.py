@@ -1,13 +1,14 @@
 """Benchmark decontamination by word n-grams.
 
 Benchmark n-grams are a distinct set.  Where its measured size allows it is
-broadcast and every document is scanned in one Arrow pass that sends no n-gram
-anywhere; larger sets are joined by a 64-bit hash of the n-gram, checked on the
+broadcast and every document is scanned in one Arrow pass, for all benchmarks
+together, that sends no n-gram anywhere; larger sets are joined by a 64-bit hash of the n-gram, checked on the
 n-gram itself.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LATEX, normal_form, words
+from ..joins import dealt_out, scratch
 
 N = 13
 #: A benchmark set of at most so many bytes is broadcast.
@@ -101,16 +103,22 @@ def benchmark_texts(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFram
 def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(key, side, n_ngrams, hits): for every row and side with n-grams, the distinct ones that the benchmark has."""
     index = ngrams(bench.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("ngram").distinct()
-    index = index.persist()
-    size = index.agg(F.sum(F.octet_length("ngram") + 64).alias("b")).first()["b"] or 0
-    sided = rows.select(F.col(key).cast("long").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")).select("key", "s.side", "s.text")
     spark = rows.sparkSession
-    known = spark.sparkContext.broadcast(frozenset(index.toArrow().column(0).to_pylist())) if size <= limit else None
+    path = scratch(spark, "benchmark-ngrams")
+    index.write.parquet(path)
+    index = spark.read.parquet(path)
+    size = index.agg(F.sum(F.octet_length("ngram") + 64).alias("b")).first()["b"] or 0
+    sided = dealt_out(rows).select(F.col(key).cast("long").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")).select("key", "s.side", "s.text")
+    known = None
+    if size <= limit:
+        grams = frozenset(index.toArrow().column(0).to_pylist())
+        hashed = Hashes()
+        known = spark.sparkContext.broadcast((grams, np.unique(np.concatenate([hashed.windows(g.split(" "), n) for g in grams] or [np.empty(0, dtype=np.uint64)]))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         if known:
-            wanted = np.unique(np.concatenate([hashes.windows(g.split(" "), n) for g in known.value] or [np.empty(0, dtype=np.uint64)]))
+            grams_known, wanted = known.value
         for batch in batches:
             counts, hits = [], []
             for text in batch.column(2).to_pylist():
@@ -127,12 +135,11 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
                 at = hashes.windows(found, n)
                 counts.append(len(np.unique(at)))
                 near = wanted[np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))] == at if len(wanted) else np.zeros(0, dtype=bool)
-                hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near)} & known.value))
+                hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near)} & grams_known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.string()))], ["key", "side", "n_ngrams", "hits"])
 
     scanned = sided.mapInArrow(scan, HITS).where("n_ngrams > 0")
     if known:
-        index.unpersist()
         return scanned
     # repeated keys stay apart, as in the scan
     exploded = scanned.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "side", "n_ngrams", F.explode("hits").alias("ngram")).withColumn("h", F.xxhash64("ngram"))
@@ -143,17 +150,25 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
 
 def contaminated(rows: DataFrame, benchmarks: dict[str, DataFrame], key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """One row per record and benchmark with hits: hits of each side and in all, the share of all its n-grams, and sample n-grams in order."""
-    out = None
-    for order, (name, bench) in enumerate(benchmarks.items()):
-        found = side_hits(rows, bench, key, sides, n, limit)
-        per = [F.coalesce(F.sum(F.when(F.col("side") == s, F.size("hits"))), F.lit(0)).cast("long").alias(f"{s}_hits") for s in sides]
-        one = found.groupBy("key").agg(*per, F.sum(F.size("hits")).cast("long").alias("total_hits"), F.sum("n_ngrams").alias("n_ngrams"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("all_hits"))
-        one = one.where("total_hits > 0").select(
-            F.col("key").alias(key), F.lit(name).alias("benchmark"), F.lit(order).alias("benchmark_order"), *[f"{s}_hits" for s in sides], "total_hits",
-            F.round(F.col("total_hits") / F.greatest(F.col("n_ngrams"), F.lit(1)), 6).alias("overlap_ratio"), F.slice(F.array_sort("all_hits"), 1, SAMPLES).alias("sample_ngrams"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = list(benchmarks)
+    texts = [bench.select(F.lit(order).alias("order"), "text") for order, bench in enumerate(benchmarks.values())]
+    if not texts:
+        raise ValueError("no benchmark is given")
+    every = functools.reduce(DataFrame.unionByName, texts)
+    found = side_hits(rows, every, key, sides, n, limit)
+    some = F.collect_list(F.when(F.size("hits") > 0, F.struct("side", "hits")))
+    records = found.groupBy("key").agg(F.sum("n_ngrams").alias("n_ngrams"), some.alias("s")).where(F.size("s") > 0)
+    grams = records.select("key", "n_ngrams", F.explode("s").alias("s")).select("key", "n_ngrams", "s.side", F.explode("s.hits").alias("ngram"))
+    if len(names) == 1:
+        grams = grams.withColumn("order", F.lit(0))
+    else:
+        grams = grams.join(ngrams(every, "order", "text", n).distinct().withColumnRenamed("key", "order"), "ngram")
+    per = [F.count_if(F.col("side") == s).alias(f"{s}_hits") for s in sides]
+    one = grams.groupBy("key", "n_ngrams", "order").agg(*per, F.count("*").alias("total_hits"), F.collect_set("ngram").alias("all_hits"))
+    return one.select(
+        F.col("key").alias(key), F.element_at(F.array(*map(F.lit, names)), F.col("order").cast("int") + 1).alias("benchmark"), F.col("order").cast("int").alias("benchmark_order"), *[f"{s}_hits" for s in sides], "total_hits",
+        F.round(F.col("total_hits") / F.greatest(F.col("n_ngrams"), F.lit(1)), 6).alias("overlap_ratio"), F.slice(F.array_sort("all_hits"), 1, SAMPLES).alias("sample_ngrams"),
+    )
 
 
 def merged(hits: DataFrame, key: str, sides: list[str]) -> DataFrame:

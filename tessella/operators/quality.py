@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import exclusive_quantile, ratio
-from ..joins import joined, scratch
+from ..joins import dealt_out, joined, scratch
 
 SHORT = 200
 
@@ -33,7 +33,7 @@ def duplicates(rows: DataFrame, text: str = "target", key: str = "id", form: str
     text that a third of the rows share is no hot partition; rows that repeat a key are told apart by a row number.
     """
     normal = T.normal_form if form == "normal" else T.dedup_form
-    hashed = rows.withColumn("hash", T.digest(normal(F.coalesce(F.col(text), F.lit("")), decompose), digits))
+    hashed = dealt_out(rows).withColumn("hash", T.digest(normal(F.coalesce(F.col(text), F.lit("")), decompose), digits))
     first = hashed.groupBy("hash").agg(F.min(key).alias("first_key"), F.count("*").alias("_n"))
     path = scratch(rows.sparkSession, "first-keys")
     first.write.parquet(path)  # texts are hashed once for it and once in the join

@@ -15,3 +15,15 @@ def test_join_path_gives_what_the_scan_gives(spark):
     assert found[0] == found[1]
     one = {r[0]: r for r in found[1]}[1]
     assert one[5] == 8 and one[6] == round(8 / (8 + 288), 6)
+
+
+def test_benchmarks_in_one_scan_agree_with_one_by_one(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    docs = spark.createDataFrame([(1, words(0, 40), None), (2, words(30, 60), words(0, 14)), (3, words(200, 230), "short"), (2, words(30, 50), None)], "id long, target string, retain string")
+    benches = {"A": spark.createDataFrame([(words(0, 30),), (None,)], "text string"), "B": spark.createDataFrame([(words(10, 50),)], "text string"), "C": spark.createDataFrame([(words(900, 950),)], "text string")}
+    rows = lambda found: sorted(map(tuple, found.drop("benchmark_order").collect()))
+    for limit in (64 << 20, 0):
+        together = decontam.contaminated(docs, benches, "id", ["target", "retain"], limit=limit)
+        apart = [r for name, bench in benches.items() for r in rows(decontam.contaminated(docs, {name: bench}, "id", ["target", "retain"], limit=limit))]
+        assert rows(together) == sorted(apart) and len(apart) == 4
+        assert {(r["benchmark"], r["benchmark_order"]) for r in together.collect()} == {("A", 0), ("B", 1)}
