@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import Encoder
 
+#: Parts of texts that a worker keeps with their ids; workers of the pipeline hold other stages' memory beside it.
+KEPT_PARTS = 400_000
+
 CAPACITY = 1024
 #: Ranks are numbered in buckets of about so many pieces.
 BUCKET_ROWS = 50_000
@@ -153,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, KEPT_PARTS)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             ids = batch.column(0).to_pylist()

@@ -27,7 +27,7 @@ WORD = re.compile(rf" ?[{LETTERS}]+\Z")
 ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯ  -‏ -  　﻿]")
 #: Such a character right before or after a blank or newline: the text is not cut.
 UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0  -‏ -  　﻿][ \n]|[ \n][̀-ͯ]")
-#: Parts of at most so many characters are kept, so many at most; then the store starts anew.
+#: Parts of at most so many characters are kept, so many at most, unless a caller asks for fewer; then the store starts anew.
 KEPT_CHARS, KEPT_PARTS = 48, 1_600_000
 #: Words on which the direct way through the tokenizer's model must agree with the tokenizer.
 PROBES = ("the", "The", "straße", "ÉTÉ", "Xylophonist", "aeiouaeiou", "zzzqqq", "ÿ", "I", "señoras")
@@ -45,8 +45,9 @@ class Encoder(dict):
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PARTS):
         super().__init__()
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,10 +59,10 @@ class Encoder(dict):
         self.word = next((w for w in (self._spaced, self._bare) if all(w(p + x) == self.plain(p + x) for x in PROBES for p in ("", " "))), None)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, kept: int = KEPT_PARTS) -> Encoder:
         """One encoder, with what it has kept, for each worker process."""
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            cls._made[path] = cls(path, kept)
         return cls._made[path]
 
     def plain(self, text: str) -> bytes:
@@ -86,7 +87,7 @@ class Encoder(dict):
             parts = PART.findall(part)
             ids = self.plain(part) if len(parts) < 2 else b"".join(map(self.__getitem__, parts))
         if len(part) <= KEPT_CHARS:
-            if len(self) >= KEPT_PARTS:
+            if len(self) >= self.kept:
                 self.clear()
             self[part] = ids
         return ids
