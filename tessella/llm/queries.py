@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_forest, html_extraction, language_id, lm_scoring, maxscore, mixing, packing, simhash, token_files, warc
+from . import collocations, hash_forest, html_extraction, language_id, lm_scoring, maxscore, merkle, mixing, packing, quality_rules, simhash, token_files, warc
 from .common import fresh_path, id_remainder
+from .collocations_sql import OP13_SQL
+from .merkle_sql import OP11_SQL
 from .mixing_sql import OP4_SQL
+from .quality_rules_sql import OP12_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +75,19 @@ def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, id_remainder(F.col("doc_id"), 10) == 0, vocabulary("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=id_remainder(F.col("doc_id"), 3) == 0)
+
+
+def op12_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_hash_forest": op2_hash_forest,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_templates": op8_site_templates,
     "op9_range_coded_ids": op9_range_coded_ids,
     "op10_lattice_scoring": op10_lattice_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_adaptive_quality": op12_adaptive_quality,
+    "op13_collocations": op13_collocations,
 }
 
 OP1_SQL = """
@@ -108,4 +127,11 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-ORACLES: dict[str, str] = {"op1_maxscore": OP1_SQL, "op4_temperature_mixing": OP4_SQL, "op6_warc_writer": OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op1_maxscore": OP1_SQL,
+    "op4_temperature_mixing": OP4_SQL,
+    "op6_warc_writer": OP6_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_adaptive_quality": OP12_SQL,
+    "op13_collocations": OP13_SQL,
+}
