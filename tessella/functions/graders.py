@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tail_words
+from .text import strip, tail_words
 
 # The patterns that define what counts as a number or a place.
 NUMBER = r"-?\d+\.?\d*(?:[eE][+-]?\d+)?"
 PLAIN_NUMBER = r"-?\d+(?:\.\d+)?"
 PERCENT_NUMBER = r"-?\d+\.?\d*%?"
-PLACE = r"(?i)(?:is\s+(?:now\s+)?(?:in|at|located\s+at))\s+(.+?)(?:\.|\z)"
+PLACE = r"(?id)(?:is\s+(?:now\s+)?(?:in|at|located\s+at))\s+(.+?)(?:\.|$)"
 FACILITY = r"(?i)(?:Station|Room|Cabinet|Ward|Shelf|Rack|Bay|Dock|Depot|Zone|Area)\s+\w+"
 HEAD = 100
 
@@ -34,7 +34,7 @@ def place(text: Column) -> Column:
     """The last place named, else the last facility, else the head of the text; trimmed, lower case."""
     named = _last(F.regexp_extract_all(text, F.lit(PLACE), F.lit(1)))
     facility = _last(F.regexp_extract_all(text, F.lit(f"({FACILITY})"), F.lit(1)))
-    return F.coalesce(F.lower(F.trim(named)), F.lower(F.trim(facility)), F.left(F.lower(F.trim(text)), F.lit(HEAD)))
+    return F.coalesce(F.lower(strip(named)), F.lower(strip(facility)), F.left(F.lower(strip(text)), F.lit(HEAD)))
 
 
 def auto_number(answer: Column, reference: Column) -> Column:
@@ -62,7 +62,7 @@ def tail_location(answer: Column, reference: Column) -> Column:
 
 
 def non_empty(answer: Column, reference: Column | None = None) -> Column:
-    return F.coalesce(F.trim(answer) != "", F.lit(False))
+    return F.coalesce(strip(answer) != "", F.lit(False))
 
 
 def financial(answer: Column, gold: Column) -> Column:
@@ -70,25 +70,25 @@ def financial(answer: Column, gold: Column) -> Column:
     number = lambda x: F.rtrim(_last(F.regexp_extract_all(F.replace(x, F.lit(","), F.lit("")), F.lit(f"({PERCENT_NUMBER})"), F.lit(1))), F.lit("%")).try_cast("double")
     a, g = number(answer), number(gold)
     close = F.when(g == 0, F.abs(a) < 0.01).otherwise(F.abs(a - g) < 0.01 * F.greatest(F.abs(g), F.lit(1e-8)))
-    same = F.lower(F.trim(answer)) == F.lower(F.trim(gold))
+    same = F.lower(strip(answer)) == F.lower(strip(gold))
     return F.coalesce(F.when(a.isNotNull() & g.isNotNull(), close).otherwise(same), F.lit(False))
 
 
 def choice_match(text: Column, letter: Column, index: Column, gold: Column) -> Column:
     """The gold names the choice by its text, its letter or its number."""
-    g = F.lower(F.trim(gold))
+    g = F.lower(strip(gold))
     number = F.when(g.rlike("^[0-9]+$"), g.try_cast("int"))
-    return F.coalesce(F.lower(F.trim(text)) == g, F.lit(False)) | F.coalesce(F.lower(letter) == g, F.lit(False)) | F.coalesce(number == index, F.lit(False))
+    return F.coalesce(F.lower(strip(text)) == g, F.lit(False)) | F.coalesce(F.lower(letter) == g, F.lit(False)) | F.coalesce(number == index, F.lit(False))
 
 
 def same_label(answer: Column, gold: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(answer)) == F.lower(F.trim(gold)), F.lit(False))
+    return F.coalesce(F.lower(strip(answer)) == F.lower(strip(gold)), F.lit(False))
 
 
 def verdict(reply: Column) -> Column:
     """A judge's reply: its JSON field, else whether it starts with yes or no, else null."""
     named = F.lower(F.regexp_extract(reply, r'(?i)"correct"\s*:\s*(true|false)', 1))
-    start = F.upper(F.trim(reply))
+    start = F.upper(strip(reply))
     return F.when(named == "true", True).when(named == "false", False).when(start.startswith("YES"), True).when(start.startswith("NO"), False)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType
 LATEX_COMMANDS = ("text", "mathrm", "mathbf", "frac", "sqrt", "left", "right", "begin", "end")
 LATEX = r"\\(?:" + "|".join(LATEX_COMMANDS) + r")\b"
 SPACES = r"(?U)\s+"
+#: White space that may stand at the ends of a text: the ASCII blanks and separators and those of Unicode.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: What the CJK repair replaces, in the order of its steps.
 LEAKED_WORDS = {"호텔": "hotel"}
@@ -39,6 +41,11 @@ def nfkd(text: Column) -> Column:
     return F.when(ascii_only, text).otherwise(_nfkd(F.when(~ascii_only, text)))
 
 
+def strip(text: Column) -> Column:
+    """Without the white space at both ends, of whatever kind."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))

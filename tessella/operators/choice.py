@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from ..functions.text import strip
 
 
 def reduced(sum_logp: Column, n_tokens: Column, n_bytes: Column, how: str) -> Column:
@@ -53,7 +54,7 @@ def candidates(choices: Column, kind: Column, labels: list[str]) -> Column:
 
 def question_type(raw: Column) -> Column:
     """FR, FB, CO or YN from their long names; others in upper case, 'unknown' for none."""
-    u = F.upper(F.trim(raw))
+    u = F.upper(strip(raw))
     return (
         F.when(u.isin("FR", "FIND RELATION", "FIND_RELATION"), "FR").when(u.isin("FB", "FIND BLOCK", "FIND_BLOCK"), "FB")
         .when(u.isin("CO", "CHOOSE OBJECT", "CHOOSE_OBJECT"), "CO").when(u.isin("YN", "YES/NO", "YES-NO", "YES_NO"), "YN")
@@ -63,7 +64,7 @@ def question_type(raw: Column) -> Column:
 
 def truth_label(label: Column, score_truthful: Column | None = None, score_deceptive: Column | None = None) -> Column:
     """truthful or deceptive by name, else by the greater score, else null."""
-    x = F.lower(F.trim(label))
+    x = F.lower(strip(label))
     named = F.when(x.isin("true", "truthful", "yes"), "truthful").when(x.isin("false", "deceptive", "no"), "deceptive")
     if score_truthful is None:
         return named

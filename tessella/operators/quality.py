@@ -15,8 +15,8 @@ SHORT = 200
 def flags(pairs: DataFrame, target: str = "target", retain: str = "retain") -> DataFrame:
     """Adds q1_empty, q2_short, bad_quality and q_cjk: empty, short but not empty, either, and CJK characters on either side."""
     t, r = (F.coalesce(F.col(c), F.lit("")) for c in (target, retain))
-    empty = (F.trim(t) == "") | (F.trim(r) == "")
-    short = (F.length(F.trim(t)) < SHORT) | (F.length(F.trim(r)) < SHORT)
+    empty = (T.strip(t) == "") | (T.strip(r) == "")
+    short = (F.length(T.strip(t)) < SHORT) | (F.length(T.strip(r)) < SHORT)
     return pairs.withColumns({"q1_empty": empty, "q2_short": ~empty & short, "bad_quality": short, "q_cjk": T.has_cjk(F.concat(t, r))})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import order_key
+from ..functions.text import WHITE
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,6 +33,11 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"vote": F.when(d2 != 0, d1 < 6), "error": d2 == 0, "evidence": evidence})
 
 
+def stripped(x: str) -> str:
+    """``text.strip`` as SQL."""
+    return f"trim({x}, '{WHITE}')"
+
+
 VOTES_SQL = """votes AS (
   SELECT doc_id, lang, source, judge, judge_order, d1, d2, CASE WHEN d2 <> 0 THEN d1 < 6 END AS vote, d2 = 0 AS error,
          list_transform(generate_series(1, 1 + d1), lambda i: judge || i) AS evidence

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import strip
 from ..operators import decontam, gates, quality
-from .common import rounded, table
+from .common import rounded, stripped, table
 
 SIDES = ["target", "retain"]
 
@@ -81,7 +82,7 @@ def audit_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.percentiles(table(spark, sf_dir, "documents"), ["lang"], F.length(F.trim("text"))))
+    return rounded(quality.percentiles(table(spark, sf_dir, "documents"), ["lang"], F.length(strip(F.col("text")))))
 
 
 def length_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,27 +164,27 @@ ORACLES = {
         SELECT doc_id, CAST(sum(h) AS BIGINT) AS target_hits, CAST(sum(h) AS BIGINT) AS total_hits,
                string_agg(CASE o WHEN 0 THEN 'EVEN' ELSE 'ODD' END, '+' ORDER BY o) AS benchmarks, round(arg_min(h, o) / any_value(n), 6) AS overlap_ratio
         FROM split JOIN sizes USING (doc_id) GROUP BY doc_id""",
-    "decontam_summary": f"""WITH {GRAMS}, f AS (SELECT length(trim(text)) < 200 AS bad, doc_id IN (SELECT doc_id FROM hits) AS hit FROM documents)
+    "decontam_summary": f"""WITH {GRAMS}, f AS (SELECT length({stripped('text')}) < 200 AS bad, doc_id IN (SELECT doc_id FROM hits) AS hit FROM documents)
         SELECT count(*) AS original, count(*) FILTER (bad) AS bad, count(*) FILTER (hit) AS contaminated, count(*) FILTER (bad AND hit) AS intersection,
                count(*) FILTER (bad OR hit) AS dropped, count(*) FILTER (NOT (bad OR hit)) AS remaining FROM f""",
     "decontam_clean": f"WITH {GRAMS} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits)",
     "decontam_top": f"WITH {GRAMS} SELECT doc_id, round(h / n, 6) AS overlap_ratio, h AS total_hits FROM hits JOIN sizes USING (doc_id) ORDER BY overlap_ratio DESC, doc_id LIMIT 10",
     "benchmark_ngrams": f"WITH {GRAMS} SELECT item_id, count(*) AS n_ngrams, CAST(sum(length(g)) AS BIGINT) AS n_chars FROM bench GROUP BY item_id",
-    "quality_flags": """SELECT doc_id, trim(t) = '' OR trim(r) = '' AS q1_empty,
-        NOT (trim(t) = '' OR trim(r) = '') AND (length(trim(t)) < 200 OR length(trim(r)) < 200) AS q2_short,
-        length(trim(t)) < 200 OR length(trim(r)) < 200 AS bad_quality, regexp_matches(t || r, '[一-鿿぀-ゟ゠-ヿ]') AS q_cjk
+    "quality_flags": f"""SELECT doc_id, {stripped('t')} = '' OR {stripped('r')} = '' AS q1_empty,
+        NOT ({stripped('t')} = '' OR {stripped('r')} = '') AND (length({stripped('t')}) < 200 OR length({stripped('r')}) < 200) AS q2_short,
+        length({stripped('t')}) < 200 OR length({stripped('r')}) < 200 AS bad_quality, regexp_matches(t || r, '[一-鿿぀-ゟ゠-ヿ]') AS q_cjk
         FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce((SELECT n.text FROM documents n WHERE n.doc_id = d.doc_id + 1), '') AS r FROM documents d)""",
     "exact_dups": f"WITH {HASHED} SELECT doc_id, first_key, doc_id > first_key AS is_duplicate FROM marked",
     "quality_filter": r"""SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) ORDER BY doc_id) AS r
         FROM documents WHERE NOT regexp_matches(text, '[一-鿿぀-ゟ゠-ヿ]')) WHERE r = 1""",
-    "audit_by_lang": f"""WITH {GRAMS}, {HASHED}, f AS (SELECT lang, trim(text) = '' AS e, trim(text) <> '' AND length(trim(text)) < 200 AS s, doc_id > first_key AS d,
+    "audit_by_lang": f"""WITH {GRAMS}, {HASHED}, f AS (SELECT lang, {stripped('text')} = '' AS e, {stripped('text')} <> '' AND length({stripped('text')}) < 200 AS s, doc_id > first_key AS d,
             regexp_matches(text, '[一-鿿぀-ゟ゠-ヿ]') AS c, doc_id IN (SELECT doc_id FROM hits) AS h FROM marked)
         SELECT lang, count(*) AS n_rows, count(*) FILTER (e) AS n_q1_empty, count(*) FILTER (s) AS n_q2_short, count(*) FILTER (d) AS n_is_duplicate, count(*) FILTER (c) AS n_q_cjk,
                count(*) FILTER (h) AS n_hit, count(*) FILTER (e OR s OR d OR c OR h) AS total_flagged, round(100.0 * count(*) FILTER (e OR s OR d OR c OR h) / count(*), 2) AS drop_pct
         FROM f GROUP BY lang""",
-    "length_percentiles": """SELECT lang, count(*) AS n, min(v) AS min, max(v) AS max, round(round(avg(v), 1), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.25), 6) AS p25,
+    "length_percentiles": f"""SELECT lang, count(*) AS n, min(v) AS min, max(v) AS max, round(round(avg(v), 1), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.25), 6) AS p25,
         round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95
-        FROM (SELECT lang, CAST(length(trim(text)) AS INTEGER) AS v FROM documents) GROUP BY lang""",
+        FROM (SELECT lang, CAST(length({stripped('text')}) AS INTEGER) AS v FROM documents) GROUP BY lang""",
     "length_deciles": r"""WITH m AS (SELECT source, 'chars' AS measure, CAST(length(text) AS DOUBLE) AS v FROM documents
             UNION ALL SELECT source, 'words', CAST(len(regexp_extract_all(text, '\S+')) AS DOUBLE) FROM documents),
         g AS (SELECT source, measure, count(*) AS n, list(v ORDER BY v) AS l, avg(v) AS mean, median(v) AS med, min(v) AS lo, max(v) AS hi FROM m GROUP BY ALL),

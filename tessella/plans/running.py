@@ -59,16 +59,26 @@ def generation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revalidated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = vote_rows(spark, sf_dir).select("doc_id", "judge", F.when(~F.col("error"), F.col("vote")).alias("flagged"))
+    return _revalidated(spark, sf_dir).where(~F.col("flagged")).select("doc_id", "lang")
+
+
+def rejected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _revalidated(spark, sf_dir).where("flagged").select("doc_id", "lang", "_revalidation_reason")
+
+
+def _revalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = vote_rows(spark, sf_dir).select("doc_id", "judge", "vote", "error", F.concat(F.col("judge"), F.lit(" flags it")).alias("reason"))
     return generation.revalidated(table(spark, sf_dir, "documents").select("doc_id", "lang"), votes, "doc_id")
 
 
 def cached_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the verdicts are in the cache, with a mark of their own."""
-    answers = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    cache = answers.where("doc_id % 3 = 0").select("doc_id", F.lit("cached").alias("verdict"))
+    """A third of the verdicts are in the cache, with marks of their own: each twice, and some of them for another answer."""
+    answers = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    seen = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("earlier "), F.col("text"))).otherwise(F.col("text"))
+    marks = F.explode(F.array(F.lit("cached"), F.lit("cached later")))
+    cache = answers.where("doc_id % 3 = 0").select("doc_id", generation.answer_hash(seen).alias("answer_hash"), marks.alias("verdict"))
     judge = lambda rows: rows.withColumn("verdict", F.when(digit(F.col("doc_id")) < 8, "yes").otherwise("no"))
-    return generation.cached_verdicts(answers, cache, ["doc_id"], judge)
+    return generation.cached_verdicts(answers, cache, ["doc_id"], judge, text="text").drop("text")
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +109,7 @@ def dropped_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "lang", F.lit(kept).cast("long").alias("kept"), F.lit(dropped).cast("long").alias("dropped"))
 
 
-QUERIES = {f.__name__: f for f in (heldout_answers, heldout_accuracy, heldout_limited, generated_pairs, generation_counts, revalidated_pairs, cached_verdicts, json_round_trip, appended_once, routed_rows, dropped_copy)}
+QUERIES = {f.__name__: f for f in (heldout_answers, heldout_accuracy, heldout_limited, generated_pairs, generation_counts, revalidated_pairs, rejected_pairs, cached_verdicts, json_round_trip, appended_once, routed_rows, dropped_copy)}
 
 ANSWERS = """c AS (SELECT * FROM (VALUES (0, 'A. de'), (1, 'B. en'), (2, 'C. es'), (3, 'D. fr')) t(k, choice)),
 d AS (SELECT *, list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS gold, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE doc_id % 7 <> 0),
@@ -121,8 +131,10 @@ ORACLES = {
     "generated_pairs": f"WITH {TRIED} SELECT * FROM p",
     "generation_counts": f"""WITH {TRIED} SELECT lang, count(*) AS n, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'accepted' AND attempt = 1) AS at_once, count(*) FILTER (outcome = 'rejected') AS rejected,
         count(*) FILTER (outcome = 'target too short') AS failed, round(avg(attempt), 6) AS mean_attempts FROM p GROUP BY lang""",
-    "revalidated_pairs": f"WITH {VOTES_SQL} SELECT doc_id, lang FROM votes GROUP BY doc_id, lang HAVING 2 * count(*) FILTER (vote AND NOT error) <= count(*) FILTER (NOT error)",
-    "cached_verdicts": f"SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'cached' WHEN {DIGIT.format('doc_id')} < 8 THEN 'yes' ELSE 'no' END AS verdict FROM documents",
+    "revalidated_pairs": f"WITH {VOTES_SQL} SELECT doc_id, lang FROM votes GROUP BY doc_id, lang HAVING count(*) FILTER (vote AND NOT error) < count(*) // 2 + 1",
+    "rejected_pairs": f"""WITH {VOTES_SQL} SELECT doc_id, lang, string_agg(judge || ' flags it', '; ' ORDER BY judge) FILTER (vote AND NOT error) AS _revalidation_reason
+        FROM votes GROUP BY doc_id, lang HAVING count(*) FILTER (vote AND NOT error) >= count(*) // 2 + 1""",
+    "cached_verdicts": f"SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 AND (doc_id % 9 <> 0 OR text IS NULL) THEN 'cached' WHEN {DIGIT.format('doc_id')} < 8 THEN 'yes' ELSE 'no' END AS verdict FROM documents",
     "json_round_trip": "SELECT doc_id, text, lang FROM documents",
     "appended_once": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 2 > 0",
     "routed_rows": f"SELECT doc_id, source, CASE WHEN {DIGIT.format('doc_id')} < 2 THEN 'holdout' ELSE 'train' END AS split FROM documents",

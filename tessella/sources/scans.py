@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
 from .registry import COIN, CORPORA, PRIMARY, SPLITS, place
 
 
@@ -27,7 +28,7 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
         schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     # read as text and parsed by an expression: the JSON reader refuses queries that need the malformed mark alone, such as counts
     parsed = F.from_json("value", schema, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = spark.read.text(paths).where(F.trim(F.translate("value", "\t\r", "  ")) != "").select(parsed.alias("r")).select("r.*")
+    rows = spark.read.text(paths).where(strip(F.col("value")) != "").select(parsed.alias("r")).select("r.*")
     if malformed == "keep":
         return rows
     return (rows if malformed == "raise" else rows.where(F.col("_corrupt_record").isNull())).drop("_corrupt_record")
@@ -49,7 +50,7 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
     found = [x for x in found if exists(spark, x[3])]
     if not found:
         return spark.createDataFrame([], "corpus string, split string, n long")
-    lines = spark.read.text([x[3] for x in found]).where(F.trim("value") != "").select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"))
+    lines = spark.read.text([x[3] for x in found]).where(strip(F.col("value")) != "").select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"))
     names = F.broadcast(spark.createDataFrame([(k, name, split, path.rsplit("/", 1)[1]) for k, name, split, path in found], "o int, corpus string, split string, file string"))
     counts = lines.groupBy("file").agg(F.count("*").alias("n"))
     return names.join(counts, "file", "left").select("o", "corpus", "split", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy("o", "split").drop("o")
@@ -113,7 +114,7 @@ def csv_matrix(spark: SparkSession, path: str, key: str, numbers: list[str] | No
     rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
     numbers = [c for c in rows.columns if c != key] if numbers is None else numbers
     parsed = {c: F.nullif(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan"))) for c in numbers}
-    return rows.withColumns(parsed).withColumn("join_key", F.lower(F.trim(F.col(key))))
+    return rows.withColumns(parsed).withColumn("join_key", F.lower(strip(F.col(key))))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

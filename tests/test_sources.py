@@ -139,3 +139,31 @@ def test_reports(spark):
         sinks.table_text(rows, most=1)
     merged = sinks.merge_report(spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int"), spark.createDataFrame([("y", 3), ("z", 4)], "k string, v int"), "k")
     assert sorted(map(tuple, merged.collect())) == [("x", 1), ("y", 3), ("z", 4)]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """The second writer finds the number taken, merges again and loses nothing."""
+    table = sinks.Versioned(spark, f"{tmp_path}/table")
+    rows = lambda *some: spark.createDataFrame(list(some), "k int, v string, at string")
+    table.write(rows((1, "a", "1")))
+    merged = []
+
+    def make(old):
+        if not merged:  # another writer comes in between
+            sinks.Versioned(spark, f"{tmp_path}/table").upsert(rows((2, "b", "1")), ["k"], "at")
+        merged.append(sorted(r["k"] for r in old.collect()))
+        return old.unionByName(rows((3, "c", "1")))
+
+    table.change(make)
+    assert merged == [[1], [1, 2]]
+    assert sorted(r["k"] for r in table.read().collect()) == [1, 2, 3]
+    assert table.latest()[0] == 2 and not table.publish(2, "elsewhere")
+
+
+def test_put_once_by_many(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: sinks.put_once(spark, f"{tmp_path}/p/one", str(k)), range(24)))
+    assert sum(won) == 1 and (tmp_path / "p/one").read_text() == str(won.index(True))
+    assert [p.name for p in (tmp_path / "p").iterdir() if not p.name.endswith(".crc")] == ["one"]
