@@ -71,3 +71,53 @@ def test_leases_go_stale(spark, tmp_path):
     held = spark.createDataFrame([(i, n, at + timedelta(minutes=m)) for i, n, m in events], "item string, node string, at timestamp")
     assert {(r["item"], r["node"], r["stale"]) for r in leases.current_leases(held, now).collect()} == {("x", "two", False), ("y", "two", True)}
     assert {(r["item"], r["n"]) for r in leases.sessions(held, "item", "at", 100).collect()} == {("x", 3), ("x", 2), ("y", 1)}
+
+
+def test_a_silent_holder_loses_its_lease(spark, tmp_path):
+    """Timers fire without any further event of the item, also when the query has been restarted in between."""
+    import time
+
+    spark.conf.set(*leases.STORE)
+    (tmp_path / "in").mkdir()
+    at = datetime(2024, 1, 1)
+    count = iter(range(100))
+
+    def send(*events):
+        rows = [json.dumps({"item": i, "node": n, "kind": k, "at": (at + timedelta(seconds=next(count))).isoformat()}) for i, n, k in events]
+        (tmp_path / f"in/{next(count):03d}.json").write_text("\n".join(rows))
+
+    def start(seconds):
+        stream = spark.readStream.schema("item string, node string, kind string, at timestamp").json(f"{tmp_path}/in")
+        writer = leases.lease_events(stream, seconds).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint")
+        return writer.outputMode("append").trigger(processingTime="300 milliseconds").start()
+
+    def seen(item):
+        rows = spark.read.schema(leases.EVENTS).parquet(f"{tmp_path}/out").where(F.col("item") == item).collect()
+        return [(r["node"], r["event"]) for r in sorted(rows, key=lambda r: (r["at"].year > 2024, r["at"]))]
+
+    def until(done, most=60):
+        ends = time.time() + most
+        while not done():
+            assert time.time() < ends, (seen("x"), seen("y"))
+            time.sleep(0.3)
+
+    send(("x", "one", "claim"), ("x", "two", "claim"), ("x", "two", "heartbeat"), ("x", "one", "heartbeat"), ("y", "two", "claim"), ("y", "two", "release"), ("y", "one", "claim"), ("y", "one", "release"), (None, "one", "claim"))
+    query = start(20)
+    until(lambda: (tmp_path / "out/_spark_metadata/0").exists() and len(seen("x")) == 4)
+    query.stop()
+    assert seen("x") == [("one", "granted"), ("two", "refused"), ("two", "refused"), ("one", "renewed")]
+    assert seen("y") == [("two", "granted"), ("two", "released"), ("one", "granted"), ("one", "released")]
+    # the holder of x is silent; nothing is sent for x while the query is down and up again
+    query = start(20)
+    send(("z", "one", "claim"))
+    until(lambda: seen("x")[-1] == ("one", "expired"))
+    send(("x", "two", "claim"))
+    until(lambda: len(seen("x")) == 6)
+    query.stop()
+    assert ("two", "granted") in seen("x") and all(event != "expired" for _, event in seen("y"))
+
+
+def test_lease_decisions():
+    assert [leases.decided(h, "a", k) for h in (None, "a", "b") for k in ("claim", "heartbeat", "release", "other")] == [
+        "granted", "refused", "refused", "refused", "renewed", "renewed", "released", "refused", "refused", "refused", "refused", "refused",
+    ]
