@@ -3,11 +3,11 @@
 A shard (a bounded number of words that one task has read) becomes a trie of
 its phrases of at most five words with their counts: level by level, a node is
 a pair of the node above it and a word, so a level is one sort of integers.  A
-phrase can only be frequent if its words and word pairs are, so two counting
-passes come first, over words and over pairs of frequent words; what is
-frequent goes into a bit table of fixed size, broadcast to the next pass.  The
-table is only a filter: two phrases that share a bit cost a few nodes, no
-result.  The passes count 64-bit hashes, whose sums are upper bounds; the tries
+phrase can only be frequent if its words, pairs and triples are, so two
+counting passes come first, over words, then over pairs and triples of frequent
+words; what is frequent goes into a bit table of fixed size, broadcast to the
+next pass.  The table is only a filter: two phrases that share a bit cost a few
+nodes, no result.  The passes count 64-bit hashes, whose sums are upper bounds; the tries
 hold the words themselves, so every count of the result is exact.
 
 Tries are serialised in order of their paths, written to the shared folder,
@@ -132,7 +132,7 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     h = (left * MIX) ^ (right + (left >> np.uint64(29)))
     h = (h ^ (h >> np.uint64(32))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -175,32 +175,38 @@ def hashed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=COUNTED)
 
 
-def counted_pairs(texts: DataFrame, words_often: Broadcast, most: int) -> DataFrame:
-    """(lang, h, n) of (lang, text): how often each shard has each pair of frequent words (lang null)."""
+def counted_grams(texts: DataFrame, words_often: Broadcast, most: int) -> DataFrame:
+    """(lang, h, n) of (lang, text): how often each shard has each pair and each triple of frequent words (lang null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, w in shards(batches, most):
             h = word_hashes(lang, words)
             often = Filter(words_often.value).of(h)
             often[0] = False
-            both = often[w[:-1]] & often[w[1:]]
-            pairs, n = np.unique(w[:-1][both] * len(words) + w[1:][both], return_counts=True)
-            yield hashed(pair_hashes(h[pairs // len(words)], h[pairs % len(words)]), n)
+            keep = often[w[:-1]] & often[w[1:]]
+            at, node, above = np.flatnonzero(keep), w[:-1][keep], h
+            for d in (2, 3):
+                if d == 3:
+                    on = at + 1 < len(keep)
+                    on[on] = keep[at[on] + 1]
+                    at, node = at[on], node[on]
+                pairs, node, n = np.unique(node * len(words) + w[at + d - 1], return_inverse=True, return_counts=True)
+                above = joined_hashes(above[pairs // len(words)], h[pairs % len(words)])
+                yield hashed(above, n)
 
     return texts.mapInArrow(run, "lang string, h long, n long")
 
 
-def trie(w: np.ndarray, often: np.ndarray, paired: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of a shard in the order of their paths, and their counts: rows of ``depth`` places, 0 past the end. ``often`` says of each word and ``paired`` of each place whether it (with the next) may be frequent."""
+def trie(w: np.ndarray, often: np.ndarray, grams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a shard in the order of their paths, and their counts: rows of ``depth`` places, 0 past the end. ``often`` says of each word, and the k-th of ``grams`` of each place, whether it (the k + 2 words from it on) may be frequent."""
     n = np.bincount(w, minlength=len(often))
     here = np.flatnonzero(often & (n > 0))
     levels = [(here[:, None], n[here])]
-    at, node = np.flatnonzero(paired), w[:-1][paired]
-    path = np.arange(len(often))[:, None]
+    at, node, path = np.flatnonzero(grams[0]), w[grams[0]], np.arange(len(often))[:, None]
     for d in range(2, depth + 1):
-        if d > 2:
-            on = at + d - 2 < len(paired)
-            on[on] = paired[at[on] + d - 2]
+        if d > 2:  # the last words of the path
+            last = grams[min(d, len(grams) + 1) - 2]
+            on = last[at + d - min(d, len(grams) + 1)]
             at, node = at[on], node[on]
         pairs, node, n = np.unique(node * len(often) + w[at + d - 1], return_inverse=True, return_counts=True)
         path = np.column_stack([path[pairs // len(often)], pairs % len(often)])
@@ -210,7 +216,18 @@ def trie(w: np.ndarray, often: np.ndarray, paired: np.ndarray, depth: int) -> tu
     return rows[order], np.concatenate([n for _, n in levels])[order]
 
 
-def tries(texts: DataFrame, words_often: Broadcast, pairs_often: Broadcast, depth: int, most: int) -> DataFrame:
+def frequent_places(w: np.ndarray, h: np.ndarray, often: np.ndarray, filter_: Filter) -> list[np.ndarray]:
+    """For each place whether a frequent pair, and whether a frequent triple may begin there; false where the shard ends before."""
+    after = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+    pair = often[w] & often[after(w, 1)]
+    of_pair = joined_hashes(h[w[pair]], h[after(w, 1)[pair]])
+    pair[pair] = hit = filter_.of(of_pair)
+    triple = pair & after(pair, 1)
+    triple[triple] = filter_.of(joined_hashes(of_pair[hit][triple[pair]], h[after(w, 2)[triple]]))
+    return [pair, triple]
+
+
+def tries(texts: DataFrame, words_often: Broadcast, grams_often: Broadcast, depth: int, most: int) -> DataFrame:
     """(lang, w1, w2, ..., n) of (lang, text): the nodes of the shards' tries in order of their paths."""
     names = [*(f"w{k + 1}" for k in range(depth)), "n"]
 
@@ -219,9 +236,7 @@ def tries(texts: DataFrame, words_often: Broadcast, pairs_often: Broadcast, dept
             h = word_hashes(lang, words)
             often = Filter(words_often.value).of(h)
             often[0] = False
-            paired = often[w[:-1]] & often[w[1:]]
-            paired[paired] = Filter(pairs_often.value).of(pair_hashes(h[w[:-1][paired]], h[w[1:][paired]]))
-            rows, n = trie(w, often, paired, depth)
+            rows, n = trie(w, often, frequent_places(w, h, often, Filter(grams_often.value)), depth)
             texts_of = pa.array(words, pa.binary()).cast(pa.string())
             for start in range(0, len(n), ROWS):
                 some = rows[start : start + ROWS]
@@ -346,9 +361,9 @@ def collocations(
     texts = dealt_out(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).cast("string").alias("text")))
     words = cut(counted_words(texts, shard_words).groupBy("lang", "h").agg(F.sum("n").alias("n")))
     words_often = frequent(words, least, bits)
-    pairs_often = frequent(counted_pairs(texts, words_often, shard_words), least, bits)
+    grams_often = frequent(counted_grams(texts, words_often, shard_words), least, bits)
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "tries")
-    tries(texts, words_often, pairs_often, depth, shard_words).write.parquet(path)
+    tries(texts, words_often, grams_often, depth, shard_words).write.parquet(path)
     nodes = cut(walked(merged(spark.read.parquet(path), depth, least)))
     phrases = cut(linked(nodes, depth))
     sizes = words.where("h is null and n > 0").select("lang", "n")
