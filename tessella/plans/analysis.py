@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.numbers import order_key
-from ..operators import accuracy, regression, sampling, statistics
+from ..operators import accuracy, regression, resampling, sampling, statistics
 from .common import observations, rounded, table
 from .common import OBSERVATIONS_SQL as OBS
 
@@ -153,6 +153,43 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("draw").agg(F.sum("n_nationkey").cast("long").alias("sum"), F.count_distinct("n_nationkey").alias("different"))
 
 
+def poisson_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty draws of all customers: size and weighted balance of each market segment's resamples."""
+    w = resampling.poisson_weight(F.col("c_custkey"), F.col("draw"))
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("draw")).withColumn("w", w)
+    found = rows.groupBy("c_mktsegment", "draw").agg(F.sum("w").cast("long").alias("n"), F.sum(F.col("w") * F.col("c_acctbal").cast("double")).alias("total"))
+    return rounded(found.select("c_mktsegment", "draw", "n", (F.col("total") / F.col("n")).alias("mean")), 4)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).withColumn("family", F.col("family").cast("string"))
+
+
+def poisson_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes over all customers of a segment and inside nations, with intervals of 10,000 draws."""
+    rows, key = _scores(spark, sf_dir), F.col("model")
+    found = [resampling.interval(resampling.slope_draws(rows, ["primitive"], "log_params", "ca", key, 10_000, within), ["primitive"]).withColumn("kind", F.lit(name)) for name, within in (("pooled", None), ("within", "family"))]
+    return found[0].unionByName(found[1])
+
+
+def poisson_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.interval(resampling.eta_draws(_scores(spark, sf_dir), ["primitive"], "family", "ca", F.col("model"), 2000), ["primitive"])
+
+
+def poisson_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.sign_stability(_scores(spark, sf_dir), "primitive", ["target", "log_params"], "ca", F.col("model"))
+
+
+def interaction_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds by the hash of the customer."""
+    fold = F.pmod(F.xxhash64("model"), F.lit(5))
+    return resampling.interaction_lasso(_scores(spark, sf_dir), "primitive", ["target", "retain", "log_params", "size_b"], "ca", fold)
+
+
+def mixed_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.mixed_slope(_scores(spark, sf_dir), "primitive", "family", "log_params", "ca", "size_b")
+
+
 def linear_probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy in both folds and the norm of the weights."""
     rows = table(spark, sf_dir, "embeddings").select((F.col("label") < 5).cast("int").alias("y"), "embedding", (F.col("vec_id") % 5 > 0).alias("fold"))
@@ -220,7 +257,7 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.linear_probe(rows, "y", "embedding", "fold", iterations=30).select("train", "n")
 
 
-QUERIES = {f.__name__: f for f in (stratified_split, random_split, stratified_sample, shuffled_take, seed_grid, seed_draws, unique_draws, distinct_picks, ols_slopes, compression_modes, eta_squared, eta_squared_given, fixed_effects, pearson_pairs, pearson_zero_filled, loo_corr, mean_sd, ridge_loo, ridge_delta, slope_bootstrap, bootstrap_means, linear_probe_scores, random_direction_values, sign_stability, eta_bootstrap, pairwise_lasso, bootstrap_sizes, cosine_pairs, similarity_summary, label_centroids, direction_cosines, projected_out, pooled_vectors, random_directions, linear_probe)}
+QUERIES = {f.__name__: f for f in (stratified_split, random_split, stratified_sample, shuffled_take, seed_grid, seed_draws, unique_draws, distinct_picks, ols_slopes, compression_modes, eta_squared, eta_squared_given, fixed_effects, pearson_pairs, pearson_zero_filled, loo_corr, mean_sd, ridge_loo, ridge_delta, slope_bootstrap, bootstrap_means, poisson_means, poisson_slopes, poisson_eta, poisson_signs, interaction_lasso, mixed_slopes, linear_probe_scores, random_direction_values, sign_stability, eta_bootstrap, pairwise_lasso, bootstrap_sizes, cosine_pairs, similarity_summary, label_centroids, direction_cosines, projected_out, pooled_vectors, random_directions, linear_probe)}
 
 SUPPLIERS = "suppliers AS (SELECT l_suppkey, " + ", ".join(f"avg({m}) AS {m}" for m in MEASURES) + " FROM lineitem GROUP BY l_suppkey)"
 COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -228,7 +265,11 @@ PARTS = "parts AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS p,
 NORM = "sqrt(list_dot_product({0}, {0}))"
 WITHIN = f"""{OBS}, inner_ AS (SELECT *, ca - avg(ca) OVER (PARTITION BY primitive, family) AS yw, log_params - avg(log_params) OVER (PARTITION BY primitive, family) AS xw FROM observations)"""
 
+#: The weight of a row in a draw: how many of the bounds of a Poisson variable the hash reaches.
+REACHED = " + ".join(f"CAST(u >= {int(p * 2.0**32)} AS INTEGER)" for p in resampling.POISSON[:12])
 ORACLES = {
+    "poisson_means": f"""WITH d AS (SELECT c_mktsegment, CAST(c_acctbal AS DOUBLE) AS b, CAST(draw AS INTEGER) AS draw, CAST(('0x' || substr(md5('0|' || c_custkey || '|' || draw), 1, 8)) AS BIGINT) AS u FROM customer, generate_series(1, 20) g(draw)),
+        w AS (SELECT *, {REACHED} AS w FROM d) SELECT c_mktsegment, draw, CAST(sum(w) AS BIGINT) AS n, round(sum(w * b) / sum(w), 4) AS mean FROM w GROUP BY c_mktsegment, draw""",
     "stratified_split": """WITH c AS (SELECT lang, source, count(*) AS n, row_number() OVER (ORDER BY lang, source) - 1 AS cell, count(*) OVER () AS cells FROM documents GROUP BY lang, source),
         r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('0|' || doc_id), doc_id) AS k FROM documents)
         SELECT doc_id, CASE WHEN k <= least(150 // cells + CASE WHEN cell < 150 % cells THEN 1 ELSE 0 END, n) THEN 'holdout' ELSE 'train' END AS split FROM r JOIN c USING (lang, source)""",
