@@ -3,12 +3,15 @@
 A shard (a bounded number of words that one task has read) becomes a trie of
 its phrases of at most five words with their counts: level by level, a node is
 a pair of the node above it and a word, so a level is one sort of integers.  A
-phrase can only be frequent if its words, pairs and triples are, so two
-counting passes come first, over words, then over pairs and triples of frequent
-words; what is frequent goes into a bit table of fixed size, broadcast to the
-next pass.  The table is only a filter: two phrases that share a bit cost a few
-nodes, no result.  The passes count 64-bit hashes, whose sums are upper bounds; the tries
-hold the words themselves, so every count of the result is exact.
+phrase can only be frequent if its pairs and triples of words are, so a
+counting pass comes first: each shard sorts the 64-bit hashes of its pairs and
+triples, cuts them to ranges of hashes and packs each range's run (differences
+and counts, compressed); ranges are merged, each in one task, and there are
+more of them the more partitions the session shuffles to.  What is frequent goes
+into a bit table of fixed size, broadcast to the pass that builds the tries.
+It is only a filter: phrases that share a hash or a bit cost a few nodes, no
+result, for the tries hold the words themselves, so every count of the result
+is exact.  Their first level has every word, which gives the sizes of languages.
 
 Tries are serialised in order of their paths, written to the shared folder,
 dealt to tasks by ranges of paths (not by first words, so a very frequent first
@@ -53,7 +56,6 @@ DELIMITERS, UND = b".,;:!?\n\x0b\x0c\r", "und"
 STOP = b"."
 #: Bytes of text that are cut into words at once, and rows of an Arrow batch.
 CHUNK, ROWS = 4 << 20, 65536
-COUNTED = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 ENDS = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 SEED, MIX = 42, np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,77 +151,112 @@ class Filter:
         return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
-def frequent(counted: DataFrame, least: int, bits: int = FILTER_BITS) -> Broadcast:
-    """The table of a Filter of the hashes ``h`` that are counted ``least`` times at least. The driver sees its words only, 2^(bits - 5) at most, however many hashes there are."""
-    often = counted.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    at = often.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 5), dtype="<u4")
-    table[words["k"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
-    return counted.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+def packed(h: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(range, size, run) of sorted hashes and their counts: a range has the hashes with its number in their first ``bits`` bits; of the next 32 bits the differences, and the counts, are kept byte by byte, which compresses well."""
+    of = (h >> np.uint64(64 - bits)).astype(np.int64)
+    low = ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    runs = []
+    for start, end in zip(starts, [*starts[1:], len(of)], strict=True):
+        both = np.concatenate([np.diff(low[start:end], prepend=np.uint32(0)), n[start:end].astype(np.uint32)])
+        runs.append(pa.compress(both.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True))
+    sizes = np.diff(np.append(starts, len(of))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32)), pa.array(sizes), pa.array(runs, pa.binary())], ["range", "size", "run"])
 
 
-def counted_words(texts: DataFrame, most: int) -> DataFrame:
-    """(lang, h, n) of (lang, text): of each shard the number of its words (h null), and how often it has each (lang null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, w in shards(batches, most):
-            n = np.bincount(w, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_pylist([{"lang": lang, "h": None, "n": int(n.sum())}], COUNTED)
-            yield hashed(word_hashes(lang, words)[1:], n)
+def unpacked(size: int, run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The second part of the hashes, and the counts."""
+    both = np.frombuffer(pa.decompress(run, 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
+    return np.cumsum(both[:size], dtype=np.uint32), both[size:].astype(np.int64)
 
-    return texts.mapInArrow(run, "lang string, h long, n long")
 
-
-def hashed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=COUNTED)
-
-
-def counted_grams(texts: DataFrame, words_often: Broadcast, most: int) -> DataFrame:
-    """(lang, h, n) of (lang, text): how often each shard has each pair and each triple of frequent words (lang null)."""
+def counted_grams(texts: DataFrame, most: int, bits: int) -> DataFrame:
+    """(range, size, run) of (lang, text): the packed counts of the pairs and triples of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, w in shards(batches, most):
             h = word_hashes(lang, words)
-            often = Filter(words_often.value).of(h)
-            often[0] = False
-            keep = often[w[:-1]] & often[w[1:]]
-            at, node, above = np.flatnonzero(keep), w[:-1][keep], h
+            inside = (w[:-1] != 0) & (w[1:] != 0)
+            at, node, above, found = np.flatnonzero(inside), w[:-1][inside], h, []
             for d in (2, 3):
                 if d == 3:
-                    on = at + 1 < len(keep)
-                    on[on] = keep[at[on] + 1]
+                    on = at + 1 < len(inside)
+                    on[on] = inside[at[on] + 1]
                     at, node = at[on], node[on]
                 pairs, node, n = np.unique(node * len(words) + w[at + d - 1], return_inverse=True, return_counts=True)
                 above = joined_hashes(above[pairs // len(words)], h[pairs % len(words)])
-                yield hashed(above, n)
+                found.append((above, n))
+            h, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h)
+            if len(h):
+                yield packed(h[order], n[order], bits)
+
+    return texts.mapInArrow(run, "range int, size int, run binary")
+
 
-    return texts.mapInArrow(run, "lang string, h long, n long")
+def frequent_hashes(runs: DataFrame, least: int, bits: int) -> DataFrame:
+    """(h): the first ``bits`` + 32 bits of the hashes that are counted ``least`` times at least over all runs; a range is merged in one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = -1
+
+        def merged_range() -> Iterator[pa.RecordBatch]:
+            if held:
+                low, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(low, kind="stable")  # of sorted runs
+                low, n = low[order], n[order]
+                starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
+                often = low[starts][np.add.reduceat(n, starts) >= least].astype(np.uint64)
+                h = (np.uint64(at) << np.uint64(64 - bits)) | (often << np.uint64(32 - bits))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+            held.clear()
+
+        for batch in batches:
+            for number, size, packed_run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != at:
+                    yield from merged_range()
+                    at = number
+                held.append(unpacked(size, packed_run))
+        yield from merged_range()
 
-def trie(w: np.ndarray, often: np.ndarray, grams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of a shard in the order of their paths, and their counts: rows of ``depth`` places, 0 past the end. ``often`` says of each word, and the k-th of ``grams`` of each place, whether it (the k + 2 words from it on) may be frequent."""
-    n = np.bincount(w, minlength=len(often))
-    here = np.flatnonzero(often & (n > 0))
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "h long")
+
+
+def filter_of(hashes: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
+    """The table of a Filter of the hashes ``h``. The driver sees its words only, 2^(bits - 5) at most, however many hashes there are."""
+    at = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 5), dtype="<u4")
+    table[words["k"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
+    return hashes.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def trie(w: np.ndarray, grams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a shard in the order of their paths, and their counts: rows of ``depth`` places, 0 past the end. The k-th of ``grams`` says of each place whether the k + 2 words from it on may be frequent."""
+    size = int(w.max(initial=0)) + 1
+    n = np.bincount(w, minlength=size)
+    n[0] = 0
+    here = np.flatnonzero(n)
     levels = [(here[:, None], n[here])]
-    at, node, path = np.flatnonzero(grams[0]), w[grams[0]], np.arange(len(often))[:, None]
+    at, node, path = np.flatnonzero(grams[0]), w[grams[0]], np.arange(size)[:, None]
     for d in range(2, depth + 1):
         if d > 2:  # the last words of the path
             last = grams[min(d, len(grams) + 1) - 2]
             on = last[at + d - min(d, len(grams) + 1)]
             at, node = at[on], node[on]
-        pairs, node, n = np.unique(node * len(often) + w[at + d - 1], return_inverse=True, return_counts=True)
-        path = np.column_stack([path[pairs // len(often)], pairs % len(often)])
+        pairs, node, n = np.unique(node * size + w[at + d - 1], return_inverse=True, return_counts=True)
+        path = np.column_stack([path[pairs // size], pairs % size])
         levels.append((path, n))
     rows = np.concatenate([np.pad(p, ((0, 0), (0, depth - p.shape[1]))) for p, _ in levels])
     order = np.lexsort(rows.T[::-1])
     return rows[order], np.concatenate([n for _, n in levels])[order]
 
 
-def frequent_places(w: np.ndarray, h: np.ndarray, often: np.ndarray, filter_: Filter) -> list[np.ndarray]:
+def frequent_places(w: np.ndarray, h: np.ndarray, filter_: Filter) -> list[np.ndarray]:
     """For each place whether a frequent pair, and whether a frequent triple may begin there; false where the shard ends before."""
     after = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
-    pair = often[w] & often[after(w, 1)]
+    pair = (w != 0) & (after(w, 1) != 0)
     of_pair = joined_hashes(h[w[pair]], h[after(w, 1)[pair]])
     pair[pair] = hit = filter_.of(of_pair)
     triple = pair & after(pair, 1)
@@ -227,16 +264,13 @@ def frequent_places(w: np.ndarray, h: np.ndarray, often: np.ndarray, filter_: Fi
     return [pair, triple]
 
 
-def tries(texts: DataFrame, words_often: Broadcast, grams_often: Broadcast, depth: int, most: int) -> DataFrame:
+def tries(texts: DataFrame, grams_often: Broadcast, depth: int, most: int) -> DataFrame:
     """(lang, w1, w2, ..., n) of (lang, text): the nodes of the shards' tries in order of their paths."""
     names = [*(f"w{k + 1}" for k in range(depth)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, w in shards(batches, most):
-            h = word_hashes(lang, words)
-            often = Filter(words_often.value).of(h)
-            often[0] = False
-            rows, n = trie(w, often, frequent_places(w, h, often, Filter(grams_often.value)), depth)
+            rows, n = trie(w, frequent_places(w, word_hashes(lang, words), Filter(grams_often.value)), depth)
             texts_of = pa.array(words, pa.binary()).cast(pa.string())
             for start in range(0, len(n), ROWS):
                 some = rows[start : start + ROWS]
@@ -359,12 +393,12 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the phrases of 2 to ``depth`` words of the highest scores of each language."""
     texts = dealt_out(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).cast("string").alias("text")))
-    words = cut(counted_words(texts, shard_words).groupBy("lang", "h").agg(F.sum("n").alias("n")))
-    words_often = frequent(words, least, bits)
-    grams_often = frequent(counted_grams(texts, words_often, shard_words), least, bits)
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "tries")
-    tries(texts, words_often, grams_often, depth, shard_words).write.parquet(path)
-    nodes = cut(walked(merged(spark.read.parquet(path), depth, least)))
+    ranges = max(4, min(20, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    grams_often = filter_of(frequent_hashes(counted_grams(texts, shard_words, ranges), least, ranges), bits)
+    tries(texts, grams_often, depth, shard_words).write.parquet(path)
+    parts = spark.read.parquet(path)
+    nodes = cut(walked(merged(parts, depth, least)))
     phrases = cut(linked(nodes, depth))
-    sizes = words.where("h is null and n > 0").select("lang", "n")
+    sizes = parts.where("w2 is null").groupBy("lang").agg(F.sum("n").alias("n"))
     return first_of_each(scored(attached(undominated(phrases, share), sizes, ["lang"], salt="words")), first)
