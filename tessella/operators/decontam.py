@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LATEX, normal_form, words
-from ..joins import dealt_out, scratch
+from ..joins import dealt_out, joined, scratch
 
 N = 13
 #: A benchmark set of at most so many bytes is broadcast.
 BROADCAST_LIMIT = 64 << 20
+#: Of a larger one a Bloom filter of so many 64-bit words is (32 MiB).
+BLOOM_WORDS = 1 << 22
 SAMPLES = 5
 _LATEX = re.compile(LATEX)
 HITS = "key long, side string, n_ngrams long, hits array<string>"
@@ -100,8 +102,46 @@ def benchmark_texts(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFram
     return out
 
 
-def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """(key, side, n_ngrams, hits): for every row and side with n-grams, the distinct ones that the benchmark has."""
+class Bloom:
+    """A blocked Bloom filter of 64-bit hashes: one 64-bit word for each hash, chosen by its first bits, and three bits in it. Its size is fixed by ``words``, a power of two; what was put in is always found."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - (len(table) - 1).bit_length())
+
+    @staticmethod
+    def bits(h: np.ndarray) -> np.ndarray:
+        one, low = np.uint64(1), np.uint64(63)
+        return (one << (h & low)) | (one << (h >> np.uint64(6) & low)) | (one << (h >> np.uint64(12) & low))
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        wanted = self.bits(h)
+        return self.table[h >> self.shift] & wanted == wanted
+
+    @classmethod
+    def of(cls, grams: DataFrame, n: int, words: int) -> Bloom:
+        """The filter of column ``ngram``: words are joined by tasks and in the shuffle, and the driver sees ``words`` of them at most, however many n-grams there are."""
+        shift = np.uint64(64 - (words - 1).bit_length())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
+            for batch in batches:
+                h = np.array([hashes.windows(g.split(" "), n)[0] for g in batch.column(0).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array((h >> shift).astype(np.int64)), pa.array(cls.bits(h).view(np.int64))], ["at", "word"])
+
+        found = grams.select("ngram").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        table = np.zeros(words, dtype=np.uint64)
+        table[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+        return cls(table)
+
+
+def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT, bloom_words: int = BLOOM_WORDS) -> DataFrame:
+    """(key, side, n_ngrams, hits): for every row and side with n-grams, the distinct ones that the benchmark has.
+
+    A benchmark of at most ``limit`` bytes is broadcast whole.  Of a larger one
+    a Bloom filter of ``bloom_words`` 64-bit words is, and the n-grams that it
+    lets through (the hits, and a few others) are looked up in the benchmark's
+    n-grams by a join.
+    """
     index = ngrams(bench.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("ngram").distinct()
     spark = rows.sparkSession
     path = scratch(spark, "benchmark-ngrams")
@@ -109,8 +149,10 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
     index = spark.read.parquet(path)
     size = index.agg(F.sum(F.octet_length("ngram") + 64).alias("b")).first()["b"] or 0
     sided = dealt_out(rows).select(F.col(key).cast("long").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")).select("key", "s.side", "s.text")
-    known = None
-    if size <= limit:
+    known = bloom = None
+    if size > limit:
+        bloom = spark.sparkContext.broadcast(Bloom.of(index, n, bloom_words).table)
+    else:
         grams = frozenset(index.toArrow().column(0).to_pylist())
         hashed = Hashes()
         known = spark.sparkContext.broadcast((grams, np.unique(np.concatenate([hashed.windows(g.split(" "), n) for g in grams] or [np.empty(0, dtype=np.uint64)]))))
@@ -119,6 +161,8 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
         hashes = Hashes()
         if known:
             grams_known, wanted = known.value
+        else:
+            likely = Bloom(bloom.value)
         for batch in batches:
             counts, hits = [], []
             for text in batch.column(2).to_pylist():
@@ -127,13 +171,11 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
                     counts.append(0)
                     hits.append([])
                     continue
-                if known is None:
-                    grams = ngrams_of(text, n)
-                    counts.append(len(grams))
-                    hits.append(sorted(grams))
-                    continue
                 at = hashes.windows(found, n)
                 counts.append(len(np.unique(at)))
+                if known is None:
+                    hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(likely.may_have(at))}))
+                    continue
                 near = wanted[np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))] == at if len(wanted) else np.zeros(0, dtype=bool)
                 hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near)} & grams_known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.string()))], ["key", "side", "n_ngrams", "hits"])
@@ -141,11 +183,15 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
     scanned = sided.mapInArrow(scan, HITS).where("n_ngrams > 0")
     if known:
         return scanned
-    # repeated keys stay apart, as in the scan
-    exploded = scanned.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "side", "n_ngrams", F.explode("hits").alias("ngram")).withColumn("h", F.xxhash64("ngram"))
-    joined = exploded.join(index.select("ngram", F.xxhash64("ngram").alias("h"), F.lit(True).alias("known")), ["h", "ngram"], "left")
-    hits = F.array_sort(F.collect_list(F.when(F.col("known"), F.col("ngram"))))
-    return joined.groupBy("row", "key", "side", "n_ngrams").agg(hits.alias("hits")).drop("row")
+    path = scratch(spark, "likely-hits")  # small: what the filter lets through
+    scanned.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # repeated keys stay apart, as in the scan
+    scanned = spark.read.parquet(path)
+    exploded = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("ngram"))
+    path = scratch(spark, "hit-ngrams")
+    exploded.groupBy("ngram").agg(F.count("*").alias("_n")).join(index, "ngram").withColumn("hit", F.col("ngram")).write.parquet(path)
+    # an n-gram of a passage that many rows share comes by a broadcast
+    certain = joined(exploded, spark.read.parquet(path), "ngram", "_n", "row").groupBy("row").agg(F.array_sort(F.collect_list("hit")).alias("certain"))
+    return scanned.join(certain, "row", "left").select("key", "side", "n_ngrams", F.coalesce("certain", F.array().cast("array<string>")).alias("hits"))
 
 
 def contaminated(rows: DataFrame, benchmarks: dict[str, DataFrame], key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT) -> DataFrame:

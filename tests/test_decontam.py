@@ -1,5 +1,7 @@
 """The two paths of the n-gram search on rows with two sides."""
 
+import numpy as np
+
 from tessella.operators import decontam
 
 
@@ -27,3 +29,31 @@ def test_benchmarks_in_one_scan_agree_with_one_by_one(spark):
         apart = [r for name, bench in benches.items() for r in rows(decontam.contaminated(docs, {name: bench}, "id", ["target", "retain"], limit=limit))]
         assert rows(together) == sorted(apart) and len(apart) == 4
         assert {(r["benchmark"], r["benchmark_order"]) for r in together.collect()} == {("A", 0), ("B", 1)}
+
+
+def test_bloom_finds_what_was_put_in(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    index = decontam.ngrams(spark.createDataFrame([(0, words(0, 3000))], "k long, text string"), "k", "text", 13).select("ngram").distinct()
+    bloom = decontam.Bloom.of(index, 13, 1 << 12)
+    hashes = decontam.Hashes()
+    assert bloom.may_have(hashes.windows(words(0, 3000).split(), 13)).all()
+    others = bloom.may_have(hashes.windows(words(5000, 25000).split(), 13))
+    assert 0 < others.mean() < 0.02  # 4,096 words of 64 bits for 2,988 n-grams
+    assert decontam.Bloom.of(index.limit(0), 13, 16).table.sum() == 0
+    assert not decontam.Bloom(np.zeros(16, dtype=np.uint64)).may_have(np.arange(5, dtype=np.uint64)).any()
+
+
+def test_only_hits_and_false_positives_are_looked_up(spark, monkeypatch):
+    """A full filter lets everything through, a sparse one next to nothing; the rows are the same."""
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    docs = spark.createDataFrame([(k, words(100 * k, 100 * k + 90), None) for k in range(40)] + [(900, words(0, 40), words(350, 380))] * 3, "id long, target string, retain string")
+    bench = spark.createDataFrame([(words(0, 400),)], "text string")
+    looked_up = []
+    real = decontam.joined
+    monkeypatch.setattr(decontam, "joined", lambda rows, *rest: looked_up.append(rows.count()) or real(rows, *rest))
+    plain = lambda df: sorted((r["key"], r["side"], r["n_ngrams"], r["hits"]) for r in df.collect())
+    scan = plain(decontam.side_hits(docs, bench, "id", ["target", "retain"]))
+    hits = sum(len(r[3]) for r in scan)
+    for size in (1, 1 << 20):
+        assert plain(decontam.side_hits(docs, bench, "id", ["target", "retain"], limit=0, bloom_words=size)) == scan
+    assert looked_up[0] > 2 * hits and looked_up[1] == hits
