@@ -27,6 +27,15 @@ def joined(rows: DataFrame, table: DataFrame, key: str, n: str, spread: str, hea
     return found.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
 
 
+def matched(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``table`` where columns ``on`` are equal or both null. Spark broadcasts a small table and splits hot keys otherwise."""
+    other = table.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(other, same, how).drop(*[f"_of_{c}" for c in on])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``, which all executors share; in local mode a temporary folder will do where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

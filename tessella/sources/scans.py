@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .datasource import file_system
 from .registry import COIN, CORPORA, PRIMARY, SPLITS, place
 
 
@@ -117,10 +122,55 @@ def csv_matrix(spark: SparkSession, path: str, key: str, numbers: list[str] | No
     return rows.withColumns(parsed).withColumn("join_key", F.lower(strip(F.col(key))))
 
 
+CHUNK = 1 << 20
+
+
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of every file, empty ones too (which Spark's readers pass over); no content is read. Hidden files are left out as there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listed.hasNext():
+        one = listed.next()
+        if not one.getPath().getName().startswith(("_", ".")):
+            found.append((one.getPath().toString(), one.getLen()))
+    return spark.createDataFrame(found, "path string, bytes long")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256, md5) of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    """(file, bytes, sha256, md5) of every file: each is read in one task in pieces of a megabyte, so its size is not bounded by a row's. Of stores that Arrow cannot open Spark's reader gives the content, which holds for files of up to 2 GB."""
+    files = files_below(spark, path)
+    first = files.first()
+    if first is None or openable(first["path"]):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [digests(p) for p in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))], ["path", "bytes", "sha256", "md5"])
+
+        done = files.repartition(max(1, files.count())).mapInArrow(run, "path string, bytes long, sha256 string, md5 string")  # a file a task
+    else:
+        done = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    return done.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes", "sha256", "md5")
+
+
+def openable(path: str) -> bool:
+    try:
+        file_system(path)
+        return True
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def digests(path: str) -> tuple[str, str]:
+    """SHA-256 and MD5 of one file, read piece by piece."""
+    store, inner = file_system(path)
+    sha256, md5 = hashlib.sha256(), hashlib.md5(usedforsecurity=False)
+    with store.open_input_stream(inner) as stream:
+        while piece := stream.read(CHUNK):
+            sha256.update(piece)
+            md5.update(piece)
+    return sha256.hexdigest(), md5.hexdigest()
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
