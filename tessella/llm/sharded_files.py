@@ -16,9 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 16
 SAMPLE_ROWS = 20_000
 #: Bytes that any row counts besides its content.
@@ -35,39 +38,46 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def bounds(ids: DataFrame, key: str) -> list[int]:
-    """Lower bounds of all shards but the first, over (key, n_bytes)."""
+def bounds(ids: DataFrame, key: str) -> np.ndarray:
+    """Lower bounds of all shards but the first, over (key, n_bytes).
+
+    The sample is sorted and summed up by Spark; the driver gets one number a
+    shard, eight bytes for SHARD_BYTES of data.
+    """
     weight = F.col("n_bytes") + ROW_BYTES
     total = ids.agg(F.count(key).alias("n"), F.sum(weight).alias("b")).first()
     if not total["n"]:
-        return []
+        return np.empty(0, dtype=np.int64)
     shards = max(LEAST_SHARDS, -(-total["b"] // SHARD_BYTES))
     every = max(1, total["n"] // max(SAMPLE_ROWS, 20 * shards))
     sample = ids.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0))
-    rows = sample.groupBy(key).agg(F.sum(weight).alias("b")).toArrow().sort_by(key)
-    if not len(rows):
-        return []
-    at, so_far = rows.column(key).to_numpy(), np.cumsum(rows.column("b").to_numpy())
-    cuts = np.searchsorted(so_far, so_far[-1] * np.arange(1, shards) / shards)
-    return sorted({int(x) for x in at[np.minimum(cuts + 1, len(at) - 1)]})
-
-
-def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below the key, searched in two levels of about sqrt(n) comparisons; 0 for null."""
-    if not cuts:
-        return F.lit(0)
-    width = int(len(cuts) ** 0.5) + 1
-    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
-    numbers = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    below = lambda values: F.size(F.filter(values, lambda x: x <= key))
-    group = F.greatest(below(numbers([g[0] for g in groups])), F.lit(1))
-    return F.coalesce((group - 1) * width + below(F.element_at(F.array(*map(numbers, groups)), group)), F.lit(0)).cast("int")
-
-
-def dealt(rows: DataFrame, key: str, cuts: list[int], *order: str) -> DataFrame:
+    rows = sample.groupBy(F.col(key).alias("at")).agg(F.sum(weight).alias("b")).repartitionByRange("at").sortWithinPartitions("at")
+    rows = cut(rows.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    parts = rows.groupBy("part").agg(F.sum("b").alias("b"))  # a row a partition
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", F.coalesce(F.sum("b").over(ranges), F.lit(0)).alias("before"), F.sum("b").over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("b").over(inside), F.lit(0)) + F.col("before")
+    placed = rows.join(F.broadcast(before), "part").select("at", F.floor(above.cast("decimal(38,0)") * shards / F.col("all")).alias("shard"))
+    cuts = placed.where("shard > 0").groupBy("shard").agg(F.min("at").alias("at"))
+    return np.sort(cuts.select("at").toArrow().column("at").to_numpy())
+
+
+def shard_of(key: Column, cuts: Broadcast) -> Column:
+    """The number of cuts at or below the key, searched in the broadcast bounds; 0 for null."""
+
+    @F.arrow_udf("int")
+    def search(keys: pa.Array) -> pa.Array:
+        found = np.searchsorted(cuts.value, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(np.where(np.asarray(keys.is_null()), 0, found).astype(np.int32))
+
+    return search(key)
+
+
+def dealt(rows: DataFrame, key: str, cuts: np.ndarray, *order: str) -> DataFrame:
     """``rows`` with ``shard``, a shard wholly in one partition and alone in it, sorted by (shard, key, order)."""
-    shards = len(cuts) + 1
-    dealt = rows.withColumn("shard", shard_of(F.col(key), cuts)).repartitionById(shards, F.col("shard"))
+    given = rows.sparkSession.sparkContext.broadcast(np.asarray(cuts, dtype=np.int64))
+    dealt = rows.withColumn("shard", shard_of(F.col(key), given)).repartitionById(len(cuts) + 1, F.col("shard"))
     return dealt.sortWithinPartitions("shard", key, *order)
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..joins import joined
 from .common import cut
 from .sharded_files import STAGED, Output, bounds, by_file, dealt, manifest, publish, staged, store
 
@@ -94,7 +95,8 @@ def write(pages: DataFrame, uri: str) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     ids = cut(pages.select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes")))
     first = ids.where(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    marks = ids.where(F.col("n_bytes") >= LEAST_REVISIT).join(first.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # a payload that many pages share comes by a broadcast
+    marks = joined(ids.where(F.col("n_bytes") >= LEAST_REVISIT), cut(first), "digest", "n", "page_id").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     none = lambda kind: F.lit(None).cast(kind)
     both = pages.select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"), F.lit(1).alias("kind"), none("long").alias("refers_to"), "url", "payload").unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", none("string").alias("url"), none("binary").alias("payload")).distinct()

@@ -288,3 +288,40 @@ def test_scores_without_training_documents(spark):
     row = lm_scoring.score(df, F.lit(True), queries.vocabulary("piece_bpe_32k.model")).first()
     assert (row["train_tokens"], row["n_known"], row["base_score"]) == (0, 0, 0.0) and row["score"] < 0
     assert lm_scoring.score(df.limit(0), F.lit(True), queries.vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_bounds_do_not_grow_the_plan(spark):
+    """A hundred thousand bounds are searched as one broadcast array; the bounds of the writers are quantiles by bytes."""
+    from tessella.llm import sharded_files as files
+
+    cuts = np.arange(10, 1_000_010, 10)
+    rows = spark.createDataFrame([(None,), (0,), (9,), (10,), (11,), (555_555,), (999_999,), (1_000_000,), (5_000_000,)], "k long")
+    few, many = (files.dealt(rows, "k", c) for c in (cuts[:3], cuts))
+    length = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(length(few) - length(many)) < 200
+    given = spark.sparkContext.broadcast(cuts)
+    found = {r["k"]: r["s"] for r in rows.select("k", files.shard_of(F.col("k"), given).alias("s")).collect()}
+    assert found == {k: 0 if k is None else int((cuts <= k).sum()) for k in found}
+    ids = spark.range(5000).select((F.col("id") * 7 - 900).alias("k"), (1000 + F.col("id") % 13 * 100).alias("n_bytes"))
+    at = files.bounds(ids, "k")
+    sizes = np.bincount(np.searchsorted(at, [r["k"] for r in ids.collect()], side="right"), weights=[r["n_bytes"] + files.ROW_BYTES for r in ids.collect()])
+    assert len(at) == files.LEAST_SHARDS - 1 and sizes.max() < 1.02 * sizes.mean()
+    assert list(files.bounds(ids.repartition(7), "k")) == list(at)
+    assert len(files.bounds(ids.limit(0), "k")) == 0 and len(files.bounds(spark.createDataFrame([(None, 5)], "k long, n_bytes long"), "k")) == 0
+
+
+def test_one_payload_in_half_of_all_pages(spark, tmp_path, monkeypatch):
+    """Copies of one payload are not sent to one task: their first page comes by a broadcast."""
+    from tessella import joins
+
+    html = "<p>the same page again and again, and then some more of it to be long enough</p>" * 3
+    pages = spark.createDataFrame([(k, f"u{k}", html if k % 2 else f"{html}{k}") for k in range(4000)], "page_id long, url string, html string")
+    broadcast = []
+    real = joins.F.broadcast
+    monkeypatch.setattr(joins.F, "broadcast", lambda df: broadcast.append(df) or real(df))
+    uri = f"file://{tmp_path}/hot"
+    warc.write(pages, uri)
+    monkeypatch.undo()
+    assert [df.count() for df in broadcast if "_first" in df.columns] == [1]
+    kinds = warc.read(spark, uri).groupBy("record_type").agg(F.count("*").alias("n"), F.min("refers_to").alias("least"), F.max("refers_to").alias("most")).collect()
+    assert {r["record_type"]: (r["n"], r["least"], r["most"]) for r in kinds} == {"response": (2001, None, None), "revisit": (1999, 1, 1)}
