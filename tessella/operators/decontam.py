@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +135,22 @@ class Bloom:
         return cls(table)
 
 
+def indexed(bench: DataFrame, n: int = N, limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, Broadcast | None]:
+    """The distinct n-grams of the benchmark's texts as a stored table, and, where they are of at most ``limit`` bytes, broadcast with their sorted hashes."""
+    spark, path = bench.sparkSession, scratch(bench.sparkSession, "benchmark-ngrams")
+    ngrams(bench.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("ngram").distinct().write.parquet(path)
+    index = spark.read.parquet(path)
+    if (index.agg(F.sum(F.octet_length("ngram") + 64).alias("b")).first()["b"] or 0) > limit:
+        return index, None
+    grams, hashed = frozenset(index.toArrow().column(0).to_pylist()), Hashes()
+    return index, spark.sparkContext.broadcast((grams, np.unique(np.concatenate([hashed.windows(g.split(" "), n) for g in grams] or [np.empty(0, dtype=np.uint64)]))))
+
+
+def near(wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each hash whether it is one of the sorted ``wanted``."""
+    return wanted[np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))] == at if len(wanted) else np.zeros(len(at), dtype=bool)
+
+
 def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n: int = N, limit: int = BROADCAST_LIMIT, bloom_words: int = BLOOM_WORDS) -> DataFrame:
     """(key, side, n_ngrams, hits): for every row and side with n-grams, the distinct ones that the benchmark has.
 
@@ -142,20 +159,10 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
     lets through (the hits, and a few others) are looked up in the benchmark's
     n-grams by a join.
     """
-    index = ngrams(bench.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("ngram").distinct()
+    index, known = indexed(bench, n, limit)
     spark = rows.sparkSession
-    path = scratch(spark, "benchmark-ngrams")
-    index.write.parquet(path)
-    index = spark.read.parquet(path)
-    size = index.agg(F.sum(F.octet_length("ngram") + 64).alias("b")).first()["b"] or 0
     sided = dealt_out(rows).select(F.col(key).cast("long").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")).select("key", "s.side", "s.text")
-    known = bloom = None
-    if size > limit:
-        bloom = spark.sparkContext.broadcast(Bloom.of(index, n, bloom_words).table)
-    else:
-        grams = frozenset(index.toArrow().column(0).to_pylist())
-        hashed = Hashes()
-        known = spark.sparkContext.broadcast((grams, np.unique(np.concatenate([hashed.windows(g.split(" "), n) for g in grams] or [np.empty(0, dtype=np.uint64)]))))
+    bloom = None if known else spark.sparkContext.broadcast(Bloom.of(index, n, bloom_words).table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -176,8 +183,7 @@ def side_hits(rows: DataFrame, bench: DataFrame, key: str, sides: list[str], n:
                 if known is None:
                     hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(likely.may_have(at))}))
                     continue
-                near = wanted[np.minimum(np.searchsorted(wanted, at), max(0, len(wanted) - 1))] == at if len(wanted) else np.zeros(0, dtype=bool)
-                hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near)} & grams_known))
+                hits.append(sorted({" ".join(found[k : k + n]) for k in np.flatnonzero(near(wanted, at))} & grams_known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.string()))], ["key", "side", "n_ngrams", "hits"])
 
     scanned = sided.mapInArrow(scan, HITS).where("n_ngrams > 0")

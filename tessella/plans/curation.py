@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import strip
-from ..operators import decontam, gates, quality
+from ..operators import audit, decontam, gates, quality
 from .common import rounded, stripped, table
 
 SIDES = ["target", "retain"]
@@ -77,8 +77,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = _dups(spark, sf_dir).select("doc_id", "is_duplicate")
-    return quality.audit(_flagged(spark, sf_dir).join(marks, "doc_id"), ["lang"], "hit")
+    return audit.audited(_pairs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"), "doc_id", ["lang"], ["target"])
 
 
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from tessella.operators import decontam
+from pyspark.sql import functions as F
+
+from tessella.operators import audit, decontam, quality
 
 
 def test_join_path_gives_what_the_scan_gives(spark):
@@ -57,3 +59,19 @@ def test_only_hits_and_false_positives_are_looked_up(spark, monkeypatch):
     for size in (1, 1 << 20):
         assert plain(decontam.side_hits(docs, bench, "id", ["target", "retain"], limit=0, bloom_words=size)) == scan
     assert looked_up[0] > 2 * hits and looked_up[1] == hits
+
+
+def test_audit_in_one_pass_is_the_audit_by_parts(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows = [(1, "x", words(0, 80), words(100, 200)), (2, "x", words(0, 80).upper(), "漢字 " + words(300, 400)), (3, "y", " \n\t\u3000", words(0, 90)), (4, "y", None, None), (5, None, "short", words(0, 90))]
+    rows += [(6, "y", words(500, 600), words(10, 30) + " " + words(700, 800)), (7, "x", "\\textbf " + words(0, 80), words(800, 900)), (8, "y", "ﬁ" + words(0, 80), words(0, 80)), (8, "y", "twice " + words(0, 80), words(0, 80))]
+    docs = spark.createDataFrame(rows, "id long, g string, target string, retain string")
+    bench = spark.createDataFrame([(words(5, 25),)], "text string")
+    flagged = quality.flags(docs)
+    hits = decontam.side_hits(docs, bench, "id", ["target", "retain"]).where(F.size("hits") > 0).select(F.col("key").alias("id"), F.lit(True).alias("hit")).distinct()
+    dups = quality.duplicates(docs, "target", "id").select("id", "is_duplicate").distinct()
+    parts = flagged.join(hits, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).join(dups, "id")
+    want = sorted(map(tuple, quality.audit(parts, ["g"], "hit").collect()), key=str)
+    for limit in (64 << 20, 0):
+        assert sorted(map(tuple, audit.audited(docs, bench, "id", ["g"], ["target", "retain"], limit=limit).collect()), key=str) == want
+    assert audit.audited(docs.limit(0), bench, "id", ["g"], ["target"]).count() == 0
