@@ -1,13 +1,14 @@
-"""Searching all vectors for a stated query set: a grid of query groups and vector shards.
+"""Searching all vectors for a stated query set: a shard is indexed once, and all queries stream past it.
 
-Every cell of the grid is one bounded task, a shard's vectors against a group's
-queries; the best of all shards are merged by Spark.  Vectors are dealt by a
+Every vector is sent to one shard and every query to each, sorted so that a
+task has a shard's vectors first and then the queries, of which it holds a batch
+at a time; the best of all shards are merged by Spark.  Vectors are dealt by a
 hash of their id, so shards are even whatever repeats.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows of a shard: n / SHARDS, but within these limits. Queries of a group, at most.
+#: Rows of a shard: n / SHARDS, but within these limits.
 SHARDS, LEAST_ROWS, MOST_ROWS = 32, 500, 200_000
-GROUP_QUERIES = 5_000
 
 
 def usable(vectors: DataFrame, key: str, embedding: str, zero: bool) -> DataFrame:
@@ -43,36 +43,49 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, ascending: bool, kind: str, cell: Callable) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of the cells' answers, ties to the smaller vec_id.
+def search(vectors: DataFrame, is_query: Column, k: int, ascending: bool, kind: str, index: Callable) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of the shards' answers, ties to the smaller vec_id.
 
-    ``cell(ids, matrix, query_ids, query_matrix)`` yields (query_id, vec_ids, scores).
+    ``index(ids, matrix)`` is made once for each shard; its ``answers(query_ids,
+    query_matrix)`` yields (query_id, vec_ids, scores).
     """
     vectors = cut(vectors)
-    queries = vectors.where(is_query).dropDuplicates(["vec_id"])
-    n, m = vectors.count(), queries.count()
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards = max(1, -(-n // max(LEAST_ROWS, min(MOST_ROWS, n // SHARDS))))
-    groups = max(1, -(-m // GROUP_QUERIES))
-    spread = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts))
-    at = lambda shard, group: (shard * groups + group).cast("long").alias("cell")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = vectors.withColumn("o", every(groups)).select(at(spread(1, shards), F.col("o")), "vec_id", "v")
-    right = queries.withColumn("o", every(shards)).select(at(F.col("o"), spread(2, groups)), "vec_id", "v")
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
+    held = vectors.select(shard.alias("shard"), F.lit(0).alias("asks"), "vec_id", "v")
+    asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v")
+    number = {"long": pa.int64(), "double": pa.float64()}[kind]
+
+    def answered(found: object, ids: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
         out: tuple[list, list, list] = ([], [], [])
-        if len(rows) and len(asked):
-            rows = rows.sort_by("vec_id")
-            width = max(max((len(x) for x in t.column("v")), default=0) for t in (rows, asked))
-            ids, asked_ids = (t.column("vec_id").to_numpy() for t in (rows, asked))
-            for query, found, scores in cell(ids, matrix(rows.column("v"), width), asked_ids, matrix(asked.column("v"), width)):
-                for column, values in zip(out, (np.full(len(found), query), found, scores), strict=True):
-                    column.append(values)
-        number = {"long": pa.int64(), "double": pa.float64()}[kind]
+        for query, vec_ids, scores in found.answers(ids, asked):
+            for column, values in zip(out, (np.full(len(vec_ids), query), vec_ids, scores), strict=True):
+                column.append(values)
         joined = [np.concatenate(c) if c else [] for c in out]
-        return pa.table({"query_id": pa.array(joined[0], pa.int64()), "vec_id": pa.array(joined[1], pa.int64()), "score": pa.array(joined[2], number)})
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(joined, (pa.int64(), pa.int64(), number), strict=True)], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, made = -1, None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            of, asks = (batch.column(c).to_numpy() for c in (0, 1))
+            starts = np.flatnonzero(np.diff(2 * of.astype(np.int64) + asks, prepend=-1))
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                some = batch.slice(start, end - start)
+                if of[start] != at:
+                    at, made, parts = of[start], None, []
+                ids, rows = some.column(2).to_numpy(), matrix(some.column(3), width)
+                if not asks[start]:
+                    parts.append((ids, rows))
+                elif made is not None or parts:
+                    if made is None:
+                        made, parts = index(*map(np.concatenate, zip(*parts, strict=True))), []
+                    yield answered(made, ids, rows)
 
-    cells = 2 * shards * groups  # twice as many partitions as cells: few cells share one
-    found = left.repartition(cells, "cell").groupBy("cell").cogroup(right.repartition(cells, "cell").groupBy("cell")).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
+    # twice as many partitions as shards: few of them share one
+    streams = held.unionByName(asking).repartition(2 * shards, "shard").sortWithinPartitions("shard", "asks", "vec_id")
+    found = streams.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -69,6 +69,48 @@ def test_maxscore_sparse_terms_skip_rows():
         all_[q] = -1
         best = np.lexsort((np.arange(5000), -all_))[:5]
         assert ids.tolist() == best.tolist() and scores.tolist() == all_[best].tolist()
+    assert shard.scored < 0.75 * 20 * 5000  # the others are in no essential posting
+
+
+def test_a_shard_is_indexed_once(spark, monkeypatch):
+    """Whatever the number of queries and of Arrow batches; its queries stream past."""
+    from tessella.llm import vector_grid
+
+    monkeypatch.setattr(vector_grid, "LEAST_ROWS", 100)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), 0) for i in range(1000)], SCHEMA)
+    built, answered = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    class Counted(hash_forest.Index):
+        def __init__(self, ids, v):
+            built.add(1)
+            super().__init__(ids, v, 3)
+
+        def answers(self, query_ids, asked):
+            answered.add(len(query_ids))
+            return super().answers(query_ids, asked)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = vector_grid.search(vector_grid.usable(rows, "vec_id", "embedding", False), F.col("vec_id") % 2 == 0, 3, True, "double", Counted).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1500 and answered.value == 500 * 10 and built.value == 10
+
+
+def test_clashing_columns_and_repeated_queries(spark):
+    """Further columns take no part; of a repeated query id the least vector asks; a longer vector is one like any other."""
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0] + [0.0] * 300 + [5.0])]
+    clean = frame(spark, rows)
+    clash = clean
+    for c in ("shard", "asks", "v", "cell", "o", "query_id", "score", "rank"):
+        clash = clash.withColumn(c, F.lit("x"))
+    for search in (maxscore.top_k, hash_forest.nearest):
+        one, two = (found(search(df, F.col("vec_id") == 0)) for df in (clean, clash))
+        assert one == two
+    assert found(maxscore.top_k(clash, F.col("vec_id") == 0)) == {0: [(2, 65536), (1, 0), (3, -65536)]}
+    near = found(hash_forest.nearest(clash, F.col("vec_id") == 0))[0]
+    assert [i for i, _ in near] == [2, 1, 3] and near[0][1] == 1.0
 
 
 def test_maxscore_large_weights(spark):
