@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, near-dedup, mixing, packing; each stage is written and read again by the next."""
+"""The corpus pipeline: language ID, near-dedup, mixing, packing; each stage is written and read again by the next.
+
+Defined cases, in every stage: an empty table gives an empty one; columns that
+a stage does not need take no part, whatever they are called, and all stages but
+the last return those of their input; rows that repeat an id stay apart where
+their texts differ.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from tessella.llm.queries import table, vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any text in a language go; the model learns from the same labelled fold as the query."""
+    """Documents without any text in a language go: null texts and such without a letter, and texts of at least ``language_id.EVIDENCE`` trigrams whose margin is below the model's bound. The model learns from the same labelled fold as the query; rows without a language or an id teach nothing."""
     model = language_id.train(docs.where(id_remainder(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
     return language_id.accepted(docs, model)
 
@@ -22,11 +28,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of smaller sources up to twice."""
+    """Every document once, those of smaller sources up to twice; null is a source like any other, equal ids and texts are in a fixed order, and a table of one source stays as it is."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and its place there: null texts consist of the end id, repeated documents are packed each, documents of equal length take each other's places."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
