@@ -28,12 +28,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of smaller sources up to twice; null is a source like any other, equal ids and texts are in a fixed order, and a table of one source stays as it is."""
+    """Every document once, those of smaller sources up to twice; null is a source like any other."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its sequence and its place there: null texts consist of the end id, repeated documents are packed each, documents of equal length take each other's places."""
+    """A row for each piece of each document, with its sequence and its place there: null texts consist of the end id, repeated documents are packed each."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
