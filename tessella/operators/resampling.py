@@ -190,7 +190,7 @@ def sign_stability(rows: DataFrame, by: str, features: list[str], y: str, key: C
     return shares.withColumn("verdict", F.when(p >= 0.95, "hit").when(p <= 0.05, "miss").otherwise("underpowered"))
 
 
-def lasso_from_gram(g: np.ndarray, c: np.ndarray, alpha: float, start: np.ndarray | None = None, rounds: int = 20_000, tolerance: float = 1e-9) -> np.ndarray:
+def lasso_from_gram(g: np.ndarray, c: np.ndarray, alpha: float, start: np.ndarray | None = None, rounds: int = 5000, tolerance: float = 1e-7) -> np.ndarray:
     """Coordinate descent on b'gb / 2 - c'b + alpha |b| by covariance updates: the gradient is kept, not the residuals."""
     b = np.zeros(len(c)) if start is None else start.copy()
     gradient = c - g @ b
