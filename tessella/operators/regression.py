@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..joins import scratch
+
 # The primitives that are taken to explain a domain, and its benchmark.
 DOMAIN_PRIMITIVES = {
     "cybermetric": ("ToM", "Causal", "Strategic"), "medqa": ("Causal", "Moral", "Spatial"), "legalbench": ("Moral",), "truthfulqa": ("ToM", "Moral", "Strategic"),
@@ -194,13 +196,17 @@ def pairwise_lasso(rows: DataFrame, group: str, primitives: list[str], y: str, l
 
 def linear_probe(vectors: DataFrame, label: str, features: str, fold: str, c: float = 1.0, iterations: int = 100) -> DataFrame:
     """Logistic regression on vectors: accuracy in the training and the held-out fold and the norm of the weights. Spark ML fits it; ``fold`` is true for training rows."""
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.functions import array_to_vector
     from pyspark.sql import functions as F
 
     rows = vectors.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(fold).alias("train")).persist()
     train = rows.where("train")
     model = LogisticRegression(regParam=1.0 / (c * max(1, train.count())), maxIter=iterations, standardization=False).fit(train)
+    # as read back it has no training summary, which holds the session and cannot be sent to tasks once the session has observed a metric
+    path = scratch(vectors.sparkSession, "linear-probe")
+    model.write().save(path)
+    model = LogisticRegressionModel.load(path)
     norm = float(np.sqrt((model.coefficientMatrix.toArray() ** 2).sum()))
     scored = model.transform(rows)
     return scored.groupBy("train").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).withColumn("weight_norm", F.lit(norm))

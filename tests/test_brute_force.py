@@ -155,6 +155,17 @@ def test_linear_probe(spark, sf):
         assert got[fold]["weight_norm"] == pytest.approx(np.linalg.norm(w[:-1]), rel=2e-2)
 
 
+def test_linear_probe_after_an_observation(spark, sf):
+    """A session that has observed a metric still fits and applies probes."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).count()
+    assert seen.get["n"] == 5
+    assert analysis.linear_probe_scores(spark, sf).count() == 2
+
+
 def test_overlap_checks(spark, sf):
     turns = defaultdict(dict)
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
