@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..joins import joined, scratch
+from ..joins import scratch
 from ..operators import choice, selection
 from .common import GRADED_SQL, digit, graded_pairs, observations, rounded, table
 from .common import OBSERVATIONS_SQL as OBS
@@ -15,19 +15,44 @@ LANGUAGES = ("de", "en", "es", "fr")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, choice_idx, gold_idx, score): the log probability of each document's words in each language, from smoothed counts of all documents' words."""
-    docs = table(spark, sf_dir, "documents")
-    path, counts = scratch(spark, "document-words"), scratch(spark, "word-counts")
-    words = F.explode(T.words(F.lower(F.coalesce("text", F.lit("")))))
-    docs.select("doc_id", "source", "lang", words.alias("word")).groupBy("doc_id", "source", "lang", "word").agg(F.count("*").alias("c")).write.parquet(path)
-    own = spark.read.parquet(path)
-    by_language = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c_{x}") for x in LANGUAGES]
-    own.groupBy("word").agg(F.count("*").alias("n"), *by_language).write.parquet(counts)
-    table_ = spark.read.parquet(counts)
-    total = table_.agg(F.count("*").alias("v"), *[F.sum(f"c_{x}").alias(f"n_{x}") for x in LANGUAGES]).first()
-    share = lambda x: F.log((F.col(f"c_{x}") + 0.1) / F.lit(float(total[f"n_{x}"] + 0.1 * total["v"])))
-    scored = joined(own, table_, "word", "n", "doc_id").groupBy("doc_id", "source", "lang").agg(*[F.round(F.sum(F.col("c") * share(x)), 4).alias(x) for x in LANGUAGES])
+#: Words that are broadcast with their shares take at most about so many bytes; rarer ones are joined by a shuffle.
+OFTEN_BYTES = 32 << 20
+
+
+def least_count(counts: DataFrame, limit: int) -> int:
+    """The least power of two of which all words that occur as often (column ``n``) fit into ``limit`` bytes together."""
+    sizes = counts.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.sum(F.octet_length("word") + 100).alias("bytes")).collect()
+    held, least = 0, 1 << 62
+    for r in sorted(sizes, reverse=True):  # a row for each power of two
+        held += r["bytes"]
+        if held > limit:
+            return least
+        least = 1 << (r["bits"] - 1)
+    return 1
+
+
+def language_scores(spark: SparkSession, sf_dir: str, often_bytes: int = OFTEN_BYTES) -> DataFrame:
+    """(doc_id, source, choice_idx, gold_idx, score): the log probability of each document's words in each language, from smoothed counts of all documents' words.
+
+    A score is a sum over words, so documents' words are not stored or counted
+    first: shares of frequent words come by a broadcast and are summed where
+    the text is read; only what is left, a small part of all words, is
+    shuffled.
+    """
+    key, path = ["doc_id", "source", "lang"], scratch(spark, "word-counts")
+    words = table(spark, sf_dir, "documents").select(*key, F.explode(F.split(F.lower("text"), T.SPACES)).alias("word")).where("word <> ''")
+    words.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == x).alias(f"c_{x}") for x in LANGUAGES]).write.parquet(path)
+    counts = spark.read.parquet(path)
+    total = counts.agg(F.count("*").alias("v"), *[F.sum(f"c_{x}").alias(f"n_{x}") for x in LANGUAGES]).first()
+    share = lambda x: F.log((F.col(f"c_{x}") + 0.1) / F.lit(float((total[f"n_{x}"] or 0) + 0.1 * max(1, total["v"]))))
+    least = least_count(counts, often_bytes)
+    shares = lambda which: counts.where(which).select("word", *[share(x).alias(x) for x in LANGUAGES])
+    often = F.broadcast(shares(F.col("n") >= least))
+    found = words.join(often, "word")
+    if least > 1:
+        rest = words.join(often.select("word"), "word", "left_anti")
+        found = found.unionByName(rest.join(shares(F.col("n") < least), "word"))
+    scored = found.groupBy(*key).agg(*[F.round(F.sum(x), 4).alias(x) for x in LANGUAGES])
     each = F.posexplode(F.array(*LANGUAGES)).alias("choice_idx", "score")
     gold = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")).cast("int") - 1
     return scored.select("doc_id", "source", gold.alias("gold_idx"), each)
