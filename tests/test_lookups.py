@@ -32,6 +32,15 @@ def test_least_count(spark):
     assert [lookups.least_count(counts, x) for x in (100, 203, 304, 405)] == [1 << 62, 8, 4, 1]
 
 
+def test_only_words_are_stored(spark, sf, monkeypatch):
+    """What is written between the steps has a row for each different word, not for each document's words."""
+    paths = []
+    monkeypatch.setattr(lookups, "scratch", lambda *a, make=lookups.scratch: paths.append(make(*a)) or paths[-1])
+    lookups.language_choice(spark, sf)
+    stored = [spark.read.parquet(p) for p in paths]
+    assert [x.count() for x in stored] == [x.select("word").distinct().count() for x in stored]
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert lookups.language_choice(spark, str(tmp_path)).collect() == []
