@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Tables of at most so many bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_LIMIT = 64 << 20
+#: Rows whose texts are Python values at the same time.
+SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,13 @@ def attached(rows: DataFrame, small: DataFrame, on: list[str], salt: str | None
     return found.select(*rows.columns, *rest)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a task holds the Python values of so many texts only."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def byte_values(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column without decoding it; None for null."""
     for value in column.cast(pa.large_binary()):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 
 FEATURES = 1 << 14
 #: At most so many labelled rows of each language are read in training.
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = model.of_texts(batch.column(at).to_pylist())
             # the logistic of the margin; without a rival, certain
             scores = [0.0 if m == -np.inf else 1.0 if m == np.inf else float(1 / (1 + np.exp(-2 * max(min(m, 30.0), -30.0)))) for _, m, _ in found]
@@ -222,7 +222,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if model.families:
                 kept = [lang != UNDETERMINED and (n < EVIDENCE or m >= model.least) for lang, m, n in model.of_texts(texts)]

@@ -59,6 +59,8 @@ PRUNED = 2
 PARITY = 16
 #: A bucket with more rows is put in order of size before it is compared, which pays from about 500 rows on; the pairs found are the same.
 BY_SIZE = 512
+#: Pairs of a bucket that are held at once: where all are near, as among copies, some 15 numbers of each.
+PAIRS_HELD = 1 << 18
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 POINT = "digest long, fp long, fp2 long, n int"
 
@@ -215,7 +217,7 @@ def candidates(points: DataFrame, radius: int, similarity: float, every: bool) -
         least, past = np.zeros(len(n), dtype=np.int64), np.full(len(n), len(n))
         if ordered:  # the same pairs: other sizes are too far apart to be similar
             least, past = np.searchsorted(n, similarity * n - 1e-6), np.searchsorted(n, n / similarity + 1e-6, "right")
-        step = max(1, min(256, (1 << 21) // len(digest)))  # so many pairs are held at once
+        step = max(1, min(256, PAIRS_HELD // len(digest)))
         for start in range(0, len(digest), step):
             x = slice(start, start + step)
             y = slice(least[start], past[min(start + step, len(n)) - 1])

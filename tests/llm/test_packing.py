@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import packing, queries
+from tessella.llm.common import SLICE_ROWS, slices
 from tessella.llm.tokens import Encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -142,3 +144,11 @@ def test_dominating_sets_are_small():
     for items in combinations_with_replacement(range(1, 9), 4):
         fixed, _ = packing.reduce_dominated(dict(Counter(items)), 10)
         assert all(len(f) <= 3 for f, _ in fixed)
+
+
+def test_a_task_holds_few_texts_at_once():
+    """Batches of Arrow are larger; what is made Python values at a time is bounded, in order, and all of it."""
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, 10_000)]
+    found = list(slices(iter(batches)))
+    assert max(b.num_rows for b in found) <= SLICE_ROWS < 10_000
+    assert [x for b in found for x in b.column(0).to_pylist()] == [0, *range(10_000)]
