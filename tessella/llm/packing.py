@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .tokens import Encoder
+from .common import cut, slices
+from .tokens import KEPT_PARTS, Encoder
 
-#: Parts of texts that a worker keeps with their ids; workers of the pipeline hold other stages' memory beside it.
-KEPT_PARTS = 400_000
+#: Parts of texts that a worker of the pipeline keeps with their ids: it holds other stages' memory beside them.
+KEPT_BESIDE = 200_000
 
 CAPACITY = 1024
 #: Ranks are numbered in buckets of about so many pieces.
@@ -152,13 +152,13 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return [p for p in fixed + best_fit(rest, capacity) if p[1]]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", kept: int = KEPT_PARTS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer, KEPT_PARTS)
+        encoder = Encoder.of(tokenizer, kept)
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, data in zip(ids, map(encoder.encode, batch.column(1).to_pylist()), strict=True):
@@ -207,5 +207,5 @@ def packed(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.withColumn("slot", slot).select(*[F.col(c) for c in cut_pieces.columns], (F.col("slot.first") + F.col("rank") - F.col("slot.low")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return packed(cut(pieces(docs, tokenizer, end_id, capacity, text, key)), capacity)
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", kept: int = KEPT_PARTS) -> DataFrame:
+    return packed(cut(pieces(docs, tokenizer, end_id, capacity, text, key, kept)), capacity)

@@ -63,6 +63,7 @@ class Encoder(dict):
         """One encoder, with what it has kept, for each worker process."""
         if path not in cls._made:
             cls._made[path] = cls(path, kept)
+        cls._made[path].kept = kept
         return cls._made[path]
 
     def plain(self, text: str) -> bytes:

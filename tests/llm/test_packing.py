@@ -152,3 +152,11 @@ def test_a_task_holds_few_texts_at_once():
     found = list(slices(iter(batches)))
     assert max(b.num_rows for b in found) <= SLICE_ROWS < 10_000
     assert [x for b in found for x in b.column(0).to_pylist()] == [0, *range(10_000)]
+
+
+def test_kept_parts_follow_the_caller():
+    """A worker that the pipeline used before keeps as many parts as the query asks for, and the other way round."""
+    path = queries.vocabulary(TOKENIZER)
+    assert [Encoder.of(path, n).kept for n in (3, 5, 2)] == [3, 5, 2]
+    assert Encoder.of(path, 2).encode("one two three four one") == Encoder(path).encode("one two three four one") and len(Encoder.of(path, 2)) <= 2
+    Encoder._made.pop(path)
