@@ -31,7 +31,9 @@ LEAST_WEIGHT = 256
 FULL, WORD = 60, 32
 MASK, LEAST = (1 << FULL) - 1, 1 << (FULL - WORD)
 MOST_SYMBOLS = 60_000
+LOW_AT = 16 + 22  # a share as one number: symbol, size and start from these bits on
 GROWTH = 4  # counts are brought up to date when so many times the ids are coded
+RENEWED = 8  # from step 64 on, weights are renewed after so many steps
 BATCH = 16  # steps whose counts the encoder looks up at once
 HEAD = struct.Struct("<IIII")
 #: How often a context was seen, in 8 classes: never, once, 2 to 3, ..., 64 and more.
@@ -45,12 +47,11 @@ class Followers:
         pairs = (contexts.astype(np.int64) << 16 | symbols).reshape(-1)
         pairs.sort()
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
-        self.pairs, self.first = pairs[first], first.astype(np.int32)
-        self.symbol = (self.pairs & 0xFFFF).astype(np.int32)
+        self.pairs = pairs[first]
         self.count = np.diff(first, append=len(pairs)).astype(np.int32)
-        self.pair_at = np.repeat(np.arange(len(first), dtype=np.int32), self.count)
         self.start = np.zeros(n_contexts + 1, dtype=np.int32)
-        np.cumsum(np.bincount(contexts.reshape(-1), minlength=n_contexts), out=self.start[1:])
+        self.start[1:] = np.cumsum(np.bincount(contexts.reshape(-1), minlength=n_contexts))
+        self.low = first - self.start.take(self.pairs >> 16)
 
     def seen(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each context starts, and how often it was seen."""
@@ -59,6 +60,7 @@ class Followers:
 
     def index(self) -> None:
         """Prepare ``find``: of pairs that share a slot the last is found, the others are coded as not seen."""
+        self.n, self.share = np.diff(self.start), self.low << 32 | self.count
         self.bits = min(22, max(8, len(self.pairs).bit_length() + 3))
         self.slots = np.zeros(1 << self.bits, dtype=np.int32)
         self.slots[self.slot(self.pairs)] = np.arange(len(self.pairs), dtype=np.int32)
@@ -70,12 +72,13 @@ class Followers:
 
     def find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each symbol in its context: where its share starts, how large it is (0: not seen), out of how many."""
-        start, n = self.seen(contexts)
+        n = self.n.take(contexts)
         if not len(self.pairs):
             return np.zeros_like(n), np.zeros_like(n), n
         pairs = contexts.astype(np.int64) << 16 | symbols
         at = self.slots.take(self.slot(pairs))
-        return self.first.take(at) - start, self.count.take(at) * (self.pairs.take(at) == pairs), n
+        share = self.share.take(at) * (self.pairs.take(at) == pairs)
+        return share >> 32, share & 0xFFFFFFFF, n
 
 
 class Models:
@@ -87,7 +90,15 @@ class Models:
         self.width[np.argmax(self.width)] += (1 << ORDER0) - self.width.sum()
         self.low = np.cumsum(self.width) - self.width
         self.order1 = Followers(first, columns, symbols)
-        self.order2 = Followers(second, columns, 1 << CONTEXTS)
+        self.shift = max(0, CONTEXTS - 2 - columns.size.bit_length())  # few ids have fewer contexts
+        self.order2 = Followers(second >> self.shift, columns, 1 << (CONTEXTS - self.shift))
+
+    def places(self) -> None:
+        """What the decoder looks up, of the three orders one after another: the share at each place, and of each share where it starts, its size and its symbol in one number."""
+        one, two = self.order1, self.order2
+        low, count = np.concatenate([self.low, one.low, two.low]), np.concatenate([self.width, one.count, two.count])
+        self.share = low << LOW_AT | count << 16 | np.concatenate([np.arange(len(self.width)), one.pairs & 0xFFFF, two.pairs & 0xFFFF])
+        self.share_at = np.repeat(np.arange(len(count), dtype=np.int32), count)
 
 
 class Weights:
@@ -105,8 +116,9 @@ class Weights:
         self.width2, self.width1 = part[:, 2].copy(), part[:, 1].copy()
 
     def learn(self, state: np.ndarray, order: np.ndarray, step: int) -> None:
-        self.tally += np.bincount(state * 3 + order, minlength=192).reshape(64, 3)
-        if step < 64 or step % 8 == 0:
+        """Of a step, or of several up to ``step`` with the same weights."""
+        self.tally += np.bincount((state * 3 + order).reshape(-1), minlength=192).reshape(64, 3)
+        if step < 64 or step % RENEWED == 0:
             self.refresh()
 
 
@@ -146,12 +158,10 @@ def encode_lanes(symbols: np.ndarray, n_symbols: int) -> list[bytes]:
     out = np.zeros((lanes, steps + 2), dtype="<u4")  # an id takes a word at most
     flat, row = out.reshape(-1), np.arange(lanes, dtype=np.int64) * out.shape[1]
     to, lane = row.copy(), np.arange(lanes)
-    begin, width = np.zeros((3, lanes), dtype=np.int64), np.zeros((3, lanes), dtype=np.int64)
 
     def carry() -> None:
-        over = low >> FULL
-        if over.any():
-            at = to[over > 0] - 1
+        if low.max() > MASK:
+            at = to[low > MASK] - 1
             while len(at):
                 flat[at] += 1
                 at = at[flat[at] == 0] - 1
@@ -165,37 +175,44 @@ def encode_lanes(symbols: np.ndarray, n_symbols: int) -> list[bytes]:
             part = slice(a, min(a + BATCH, end))
             ids = columns[part]
             low1, count1, n1 = models.order1.find(first[part], ids)
-            low2, count2, n2 = models.order2.find(second[part], ids)
+            low2, count2, n2 = models.order2.find(second[part] >> models.shift, ids)
             states = CLASSES.take(np.minimum(n2, 128)) * 8 + CLASSES.take(np.minimum(n1, 128))
             lows = np.stack([models.low.take(ids), low1, low2], axis=1)
             counts = np.stack([models.width.take(ids), count1, count2], axis=1)
             totals = np.stack([np.full_like(n1, 1 << ORDER0), np.maximum(n1, 1), np.maximum(n2, 1)], axis=1)
             shares = (counts / totals).astype(np.float32)
-            for k in range(len(ids)):
-                state, share = states[k], shares[k]
-                width[2], width[1] = weights.width2.take(state), weights.width1.take(state)
-                begin[1] = width[2]
-                np.add(width[2], width[1], out=begin[0])
-                np.subtract(1 << MIX, begin[0], out=width[0])
-                gain = share * width
-                order = np.where(gain[2] >= gain[1], 2, 1)
-                order *= np.maximum(gain[1], gain[2]) >= gain[0]
+            k = 0
+            while k < len(ids):  # steps with the same weights together
+                more = min(len(ids), k + (1 if a + k < 64 else 1 + -(a + k) % RENEWED))
+                same = slice(k, more)
+                state = states[same]
+                begin, width = np.zeros((2, len(state), 3, lanes), dtype=np.int64)
+                width[:, 2], width[:, 1] = weights.width2.take(state), weights.width1.take(state)
+                begin[:, 1] = width[:, 2]
+                np.add(width[:, 2], width[:, 1], out=begin[:, 0])
+                np.subtract(1 << MIX, begin[:, 0], out=width[:, 0])
+                gain = shares[same] * width
+                order = 1 + (gain[:, 2] >= gain[:, 1])
+                order *= np.maximum(gain[:, 1], gain[:, 2]) >= gain[:, 0]
                 at = order * lanes + lane
-                unit = span >> MIX
-                low += unit * begin.take(at)
-                unit *= width.take(at)
-                unit //= totals[k].take(at)
-                low += unit * lows[k].take(at)
-                span = unit * counts[k].take(at)
-                carry()
-                go = np.flatnonzero(span < LEAST)
-                if len(go):
-                    held, place = low[go], to[go]
-                    flat[place] = held >> (FULL - WORD)
-                    to[go] = place + 1
-                    low[go] = held << WORD & MASK
-                    span[go] <<= WORD
-                weights.learn(state, order, a + k)
+                at += 3 * lanes * np.arange(len(state))[:, None]
+                for begins, widths, total, lows_, count in zip(begin.take(at), width.take(at), totals[same].take(at), lows[same].take(at), counts[same].take(at)):
+                    unit = span >> MIX
+                    low += unit * begins
+                    unit *= widths
+                    unit //= total
+                    low += unit * lows_
+                    span = unit * count
+                    carry()
+                    go = np.flatnonzero(span < LEAST)
+                    if len(go):
+                        held, place = low[go], to[go]
+                        flat[place] = held >> (FULL - WORD)
+                        to[go] = place + 1
+                        low[go] = held << WORD & MASK
+                        span[go] <<= WORD
+                weights.learn(state, order, a + more - 1)
+                k = more
     low += LEAST - 1  # the next multiple of ``LEAST``, which is still in the range; what follows counts as zeros
     carry()
     flat[to] = low >> (FULL - WORD)
@@ -220,18 +237,18 @@ def decode_lanes(words: list[bytes], steps: int, n_symbols: int) -> np.ndarray:
     second = np.zeros((steps, lanes), dtype=np.int32)
     first = np.zeros((steps, lanes), dtype=np.int32)
     lane, spare = np.arange(lanes), 2 * WORD - FULL
-    begin, width, totals = (np.zeros((3, lanes), dtype=np.int64) for _ in range(3))
+    begin, width, totals, starts = (np.zeros((3, lanes), dtype=np.int64) for _ in range(4))
     totals[0] = 1 << ORDER0
-    low, count = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     for start, end in epochs(steps):
         models = Models(columns[:start], first[:start], second[:start], n_symbols)
-        symbol_at = np.repeat(np.arange(n_symbols, dtype=np.int32), models.width)
+        models.places()
+        base1, base2 = 1 << ORDER0, (1 << ORDER0) + start * lanes
         for k in range(start, end):
             if k:
                 first[k] = columns[k - 1]
                 second[k] = hashed(columns[k - 2] if k > 1 else columns[k], columns[k - 1])
             start1, n1 = models.order1.seen(first[k])
-            start2, n2 = models.order2.seen(second[k])
+            start2, n2 = models.order2.seen(second[k] >> models.shift)
             state = CLASSES.take(np.minimum(n2, 128)) * 8 + CLASSES.take(np.minimum(n1, 128))
             width[2], width[1] = weights.width2.take(state), weights.width1.take(state)
             begin[1] = width[2]
@@ -239,6 +256,8 @@ def decode_lanes(words: list[bytes], steps: int, n_symbols: int) -> np.ndarray:
             np.subtract(1 << MIX, begin[0], out=width[0])
             np.maximum(n1, 1, out=totals[1])
             np.maximum(n2, 1, out=totals[2])
+            np.add(start1, base1, out=starts[1])
+            np.add(start2, base2, out=starts[2])
             unit = span >> MIX
             place = code // unit
             order = (place < begin[0]).astype(np.int64) + (place < begin[1])
@@ -248,18 +267,11 @@ def decode_lanes(words: list[bytes], steps: int, n_symbols: int) -> np.ndarray:
             total = totals.take(at)
             unit //= total
             v = np.minimum(code // unit, total - 1)
-            ids = columns[k]
-            here = np.flatnonzero(order == 0)
-            symbol = symbol_at.take(v[here])
-            ids[here], low[here], count[here] = symbol, models.low.take(symbol), models.width.take(symbol)
-            for number, model, starts in ((1, models.order1, start1), (2, models.order2, start2)):
-                here = np.flatnonzero(order == number)
-                if len(here):
-                    begins = starts[here]
-                    pair = model.pair_at.take(v[here] + begins)
-                    ids[here], low[here], count[here] = model.symbol.take(pair), model.first.take(pair) - begins, model.count.take(pair)
-            code -= unit * low
-            span = unit * count
+            v += starts.take(at)
+            share = models.share.take(models.share_at.take(v))
+            columns[k] = share & 0xFFFF
+            code -= unit * (share >> LOW_AT)
+            span = unit * (share >> 16 & (1 << LOW_AT - 16) - 1)
             go = np.flatnonzero(span < LEAST)
             if len(go):
                 more = flat.take(np.minimum(next_[go], last[go]))

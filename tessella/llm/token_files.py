@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import cut
+from .common import cut, slices
 from .sharded_files import STAGED, Output, bounds, by_file, dealt, manifest, publish, staged, store
 from .tokens import Encoder
 
-MAGIC = b"tessella token ids 1\n"
+MAGIC = b"tessella token ids 2\n"
 SECTION = struct.Struct("<cQI")  # kind, length, crc32
 NO_ID = -(1 << 63)
+KEPT_PARTS = 1_200_000  # a worker keeps the ids of so many parts of texts
 
 
 class Writer:
@@ -78,14 +79,15 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int, text: str = "t
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done, writer = Encoder.of(tokenizer), [], None
-        for batch in batches:
-            for doc_id, data, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        encoder, done, writer = Encoder.of(tokenizer, KEPT_PARTS), [], None
+        for batch in slices(batches):
+            doc_ids, texts, shards = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids, shard in zip(doc_ids, encoder.encoded(texts), shards, strict=True):
                 if writer is None or writer.file.shard != shard:
                     if writer:
                         done.append(writer.close())
                     writer = Writer(uri, shard)
-                writer.add(doc_id, encoder.encode(data) + end)
+                writer.add(doc_id, ids + end)
         if writer:
             done.append(writer.close())
         if done:

@@ -7,6 +7,7 @@ import math
 import zlib
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 from urllib.parse import urlsplit
 
 import duckdb
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import html_extraction, lm_scoring, queries, range_coder, sharded_files, token_files, warc
+from tessella.llm import html_extraction, lm_scoring, queries, range_coder, sharded_files, token_files, tokens, warc
 from tessella.llm.common import fresh_path
 
 PAGES = "page_id long, url string, html string, shard string"
@@ -119,6 +120,26 @@ def test_range_coder_blocks_stand_alone():
     assert range_coder.encode_segment(ids[2500:]) == alone and (range_coder.decode_segment(alone) == ids[2500:]).all()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("chars, kept", [(1, 5), (60, 1000), (1 << 20, 1000)])
+def test_texts_encoded_together(monkeypatch, name, chars, kept):
+    """The ids are those of the library, whatever texts are encoded with."""
+    monkeypatch.setattr(tokens, "GROUP_CHARS", chars)
+    monkeypatch.setattr(tokens, "GROUP_TEXTS", 3)
+    encoder = tokens.Encoder(queries.vocabulary(name), kept)
+    texts = ["Word word. WORD, word", None, "", " a  b\n", "x<|endoftext|>y", "x<|ENDOFTEXT|>Y", "tab\tWord", "É é. DON'T don't. it's", "a) a). (a", "...!? . word..", "İ K ſ Σ", "A\u0300 q\u1dc4", "w" * 60 + ".", "中文。12 3.5"]
+    want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encoder.encoded(texts)) == want == list(encoder.encoded(iter(texts)))
+
+
+def test_words_go_to_the_model_once():
+    encoder, seen = tokens.Encoder(queries.vocabulary("word_bpe_49k.json")), []
+    model = encoder.model
+    encoder.model = SimpleNamespace(tokenize=lambda word: seen.append(word) or model.tokenize(word))
+    list(encoder.encoded(["Word word. WORD, word", "word; other\nOther!"]))
+    assert sorted(seen) == ["other", "word"]
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(sharded_files, "LEAST_SHARDS", 3)
     monkeypatch.setattr(range_coder, "LANES", 2)
